@@ -11,6 +11,8 @@ from .bpe import bpe_round_trip, read_ranks
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .simhash import simhash_groups
+from .token_counts import split_vocabulary, token_counts
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy pieces of whole words by the multilingual byte vocabulary, whose space-led tokens begin words."""
+    first, later = split_vocabulary(set(read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))))
+    return token_counts(table(spark, sf_dir, "documents"), first, later)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe_round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -30,14 +38,21 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
+    "op7_toxicity": op7_toxicity,
     "op10_mixing": op10_mixing,
 }
 
