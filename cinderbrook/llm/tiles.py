@@ -14,15 +14,18 @@ def tiled(rows: DataFrame, keys: list[str], by: str, most: int) -> DataFrame:
 
     A group of up to `most` rows is one tile. A larger one is cut by a hash of `by` into chunks of about that many, and each
     two chunks (and each with itself) make a tile: any two rows of the group meet in a tile, none of which holds much more
-    than twice `most` rows.
+    than twice `most` rows. __chunk is a row's chunk; __cross says that a tile is of two chunks, whose inner pairs have other tiles.
     """
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     chunks = F.ceil(F.col("__n") / F.lit(most)).cast("int")
     dealt = rows.join(counts, keys).withColumn("__s", chunks)
     chunk = F.pmod(F.xxhash64(F.lit(17), by), F.col("__s")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("__s") - 1), lambda j: F.least(j, F.col("__c")) * F.col("__s") + F.greatest(j, F.col("__c")))
-    dealt = dealt.withColumn("__c", chunk).withColumn("__tile", F.explode(F.when(F.col("__s") == 1, F.array(F.lit(0))).otherwise(others)))
-    return dealt.drop("__n", "__s", "__c").repartition(*keys, "__tile").sortWithinPartitions(*keys, "__tile")
+    low, high = (lambda j: F.least(j, F.col("__c"))), (lambda j: F.greatest(j, F.col("__c")))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("__s") - 1), lambda j: F.struct((low(j) * F.col("__s") + high(j)).alias("tile"), (low(j) != high(j)).alias("cross")))
+    alone = F.array(F.struct(F.lit(0).alias("tile"), F.lit(False).alias("cross")))
+    dealt = dealt.withColumn("__c", chunk).withColumn("__at", F.explode(F.when(F.col("__s") == 1, alone).otherwise(tiles)))
+    dealt = dealt.select(*rows.columns, F.col("__c").alias("__chunk"), F.col("__at.tile").alias("__tile"), F.col("__at.cross").alias("__cross"))
+    return dealt.repartition(*keys, "__tile").sortWithinPartitions(*keys, "__tile")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[[pa.Table], Iterator[tuple]]) -> Iterator[tuple]:
