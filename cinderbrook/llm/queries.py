@@ -12,6 +12,7 @@ from .bpe import bpe_round_trip, read_ranks
 from .common import shared_dir
 from .embedding_dedup import embedding_groups
 from .exact_dedup import exact_dedup
+from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .simhash import simhash_groups
 from .token_counts import split_vocabulary, token_counts
@@ -48,6 +49,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
+    "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_url_filters": op8_url_filters,
     "op9_embeddings": op9_embeddings,
