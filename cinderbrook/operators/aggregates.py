@@ -55,7 +55,7 @@ def pivot_max(df: DataFrame, keys: Sequence[str], label: str, value: str, labels
 def pivot_counts(df: DataFrame, keys: Sequence[str], label: str, labels: Sequence[str], fill: int | None = None) -> DataFrame:
     """A column per label with its number of rows; labels a group lacks are null, or `fill`."""
     found = df.groupBy(*keys).pivot(label, list(labels)).agg(F.count(F.lit(1)))
-    return found if fill is None else found.na.fill(fill, [str(x) for x in labels])
+    return found if fill is None else found.select(*keys, *(F.coalesce(F.col(f"`{x}`"), F.lit(fill)).alias(str(x)) for x in labels))
 
 
 def pivot_measures(df: DataFrame, keys: Sequence[str], label: str, measures: Sequence[str], labels: Sequence[str]) -> DataFrame:

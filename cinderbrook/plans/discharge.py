@@ -30,8 +30,8 @@ def with_quartiles(flow: DataFrame, site: str = "usgs_site", value: str = "Flow"
 
 def calendar(flow: DataFrame, site: str, day: str) -> DataFrame:
     """Every site and day between the site's first and last one."""
-    span = flow.groupBy(site).agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
-    return span.select(site, F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).cast("date").alias(day))
+    span = flow.groupBy(site).agg(F.min(day).cast("date").alias("lo"), F.max(day).cast("date").alias("hi"))
+    return span.select(site, F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias(day))
 
 
 def complete_calendar(flow: DataFrame, site: str, day: str, value: str) -> DataFrame:

@@ -16,7 +16,7 @@ HARMONICS = 3
 #: m³/s below which a day counts as without flow.
 NO_FLOW = 0.1
 
-METRICS = "years int, n_days long, rms_signal double, rms_noise double, snr double, hsaf double, hsam double, lsaf double, lsam double, fpext double, naa double, sigma_hf double, sigma_lf double, zero_days long"
+METRICS = "years int, n_days long, rms_signal double, rms_noise double, snr double, hsaf double, hsam double, lsaf double, lsam double, fpext double, naa double, sigma_hf double, sigma_lf double, zero_days double"
 
 
 def seasonal_signal(day_of_year: np.ndarray, log_flow: np.ndarray, harmonics: int = HARMONICS) -> np.ndarray:
@@ -70,7 +70,7 @@ def signal_metrics(days: pd.Series, flow: np.ndarray, harmonics: int = HARMONICS
     return {
         "years": len(by_year), "n_days": int(known.sum()), "rms_signal": strength, "rms_noise": noise, "snr": snr,
         "hsaf": means[0], "hsam": means[1], "lsaf": means[2], "lsam": means[3], "fpext": means[4], "naa": means[5],
-        "sigma_hf": high, "sigma_lf": low, "zero_days": int((flow[np.isfinite(flow)] < NO_FLOW).sum()),
+        "sigma_hf": high, "sigma_lf": low, "zero_days": float((flow[np.isfinite(flow)] < NO_FLOW).sum()) / max(days.dt.year.nunique(), 1),
     }
 
 
@@ -100,8 +100,9 @@ def daily_anomalies(flow: DataFrame, site: str, day: str, value: str, harmonics:
 
 
 def anomaly_sums(anomalies: DataFrame, events: DataFrame, site: str, day: str, event: str, event_day: str, years: int = 3) -> DataFrame:
-    """Per event the sums of positive anomalies in the years before and behind it."""
+    """Per event the sums of positive anomalies in the years before and behind it, its own day in both, and their difference."""
     joined = events.select(site, event, event_day).join(anomalies.select(site, day, "residual"), site)
     joined = joined.where(F.col(day).between(years_before(F.col(event_day), years), years_after(F.col(event_day), years)))
-    positive = F.greatest("residual", F.lit(0.0))
-    return joined.groupBy(site, event, event_day).agg(F.sum(F.when(F.col(day) < F.col(event_day), positive).otherwise(0.0)).alias("sum_before"), F.sum(F.when(F.col(day) > F.col(event_day), positive).otherwise(0.0)).alias("sum_after"))
+    positive = lambda when: F.sum(F.when(when & (F.col("residual") >= 0), F.col("residual")).otherwise(0.0))
+    found = joined.groupBy(site, event, event_day).agg(positive(F.col(day) <= F.col(event_day)).alias("sum_before"), positive(F.col(day) >= F.col(event_day)).alias("sum_after"))
+    return found.withColumn("difference", F.col("sum_before") - F.col("sum_after"))

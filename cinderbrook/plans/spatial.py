@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import bounding_box, boxes_meet, first_shared_cell, grid_cells, overlap_area, spheroidal_area
 from ..operators.joins import not_in
@@ -20,12 +21,12 @@ def as_rings(value) -> list[np.ndarray]:
     return [np.array([(p["x"], p["y"]) for p in ring], float) for ring in value if len(ring) > 2] if value is not None else []
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def overlap_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([overlap_area(as_rings(x), as_rings(y)) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def spheroidal_area_udf(a: pd.Series) -> pd.Series:
     return pd.Series([spheroidal_area(as_rings(x)) for x in a], dtype="float64")
 
