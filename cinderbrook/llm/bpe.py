@@ -273,7 +273,7 @@ def bpe_decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
     """(id, ids, decoded) per row: the binary column holds the bytes of the ids."""
     vocabulary = shared_vocabulary(df, ranks, pattern)
     source = df.select(id_col, F.col(ids_col).alias("ids"))
-    return source.mapInArrow(lambda batches: decoded(batches, vocabulary, 1), source.schema.add("decoded", "binary"))
+    return source.mapInArrow(lambda batches: decoded(batches, vocabulary, 1), T.StructType([*source.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def bpe_round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *, with_ids: bool = False) -> DataFrame:
