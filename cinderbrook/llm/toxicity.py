@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples, with evidence.
 
 A bounded sample of labelled rows gives the examples. Words and word beginnings that tell the labels apart (chi squared over
-distinct example texts) are the features; their document frequencies are counted over the whole corpus. The examples' TF-IDF
-vectors form an inverted index in blocks; each feature knows its largest weight in each block. A document's blocks are visited
+distinct example texts) are the features; their document frequencies are counted over the whole corpus, and each dimension of the
+TF-IDF space is stretched by how strongly its feature tells the labels apart (its log odds ratio). The examples' vectors form an inverted index in blocks; each feature knows its largest weight in each block. A document's blocks are visited
 by falling upper bound and the search ends when no block can hold a nearer example, so the nearest are exact. Their votes count by
 squared similarity, and the sample's share of toxic rows votes with them: the score.
 """
@@ -26,9 +26,11 @@ from .common import Scratch, in_batches
 #: Labelled rows that become examples, at most.
 EXAMPLES = 8_000
 #: Features kept.
-FEATURES = 512
+FEATURES = 1_024
+#: Chi squared that a feature must reach: chance passes one in a thousand.
+LEAST_CHI = 10.83
 #: Lengths of the word beginnings that are features beside whole words.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7)
 #: Distinct example texts that a feature must be in.
 LEAST_TEXTS = 5
 #: Examples that vote.
@@ -79,7 +81,7 @@ class ToxicityModel:
     """Features, their weights, and the examples as (id, label, {feature: weight}) with unit vectors; bounded by the parameters."""
 
     numbers: dict[str, int]
-    idf: list[float]
+    weights: list[float]
     examples: list[tuple[int, int, dict[int, float]]]
     prior: float
     neighbours: int = NEIGHBOURS
@@ -93,7 +95,7 @@ class ToxicityModel:
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
         """Unit TF-IDF vector; empty if no feature has weight."""
-        raw = {k: (1 + math.log(n)) * self.idf[k] for k, n in sorted(counts.items()) if self.idf[k] > 0}
+        raw = {k: (1 + math.log(n)) * self.weights[k] for k, n in sorted(counts.items()) if self.weights[k] > 0}
         norm = math.sqrt(sum(x * x for x in raw.values()))
         return {k: x / norm for k, x in raw.items()} if norm else {}
 
@@ -195,8 +197,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     p, n = float(totals["toxic"]), float(totals["all"] - totals["toxic"])
     spread = (F.col("a") + F.col("b")) * (p + n - F.col("a") - F.col("b")) * p * n
     chi = F.try_divide((p + n) * F.pow(F.col("a") * (n - F.col("b")) - F.col("b") * (p - F.col("a")), 2), spread)
-    ranked = counts.where(F.col("a") + F.col("b") >= LEAST_TEXTS).select("feature", F.round(chi, 6).alias("chi")).where("chi > 0")
-    numbers = {row["feature"]: k for k, row in enumerate(ranked.orderBy(F.desc("chi"), "feature").limit(features).collect())}
+    ranked = counts.where(F.col("a") + F.col("b") >= LEAST_TEXTS).select("feature", "a", "b", F.round(chi, 6).alias("chi")).where(F.col("chi") >= LEAST_CHI)
+    ranked = ranked.orderBy(F.desc("chi"), "feature").limit(features).collect()
+    numbers = {row["feature"]: k for k, row in enumerate(ranked)}
+    strength = [abs(math.log((row["a"] + 0.5) * (n + 1) / ((row["b"] + 0.5) * (p + 1)))) for row in ranked]
 
     def document_frequencies(batches):
         chosen_features, total = Chosen(numbers), np.zeros(len(numbers), np.int64)
@@ -206,8 +210,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         yield pa.RecordBatch.from_arrays([pa.array(range(len(numbers)), pa.int32()), pa.array(total)], names=["k", "n"])
 
     frequencies = {row["k"]: row["n"] for row in texts.select("text").mapInArrow(document_frequencies, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    idf = [math.log((1 + n_docs) / (1 + frequencies.get(k, 0))) for k in range(len(numbers))]
-    model = ToxicityModel(numbers, idf, [], 0.0, neighbours, prior_weight, block)
+    weights = [x * math.log((1 + n_docs) / (1 + frequencies.get(k, 0))) for k, x in enumerate(strength)]
+    model = ToxicityModel(numbers, weights, [], 0.0, neighbours, prior_weight, block)
 
     def vectors(batches):
         chosen_features = Chosen(numbers)
