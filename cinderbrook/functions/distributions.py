@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 
 def beta_share(a: float, b: float, x: float) -> float:
@@ -47,10 +48,24 @@ def inverse(function: Callable[[float], float], p: float, low: float, high: floa
     return (low + high) / 2
 
 
+def t_density(t: float, df: float) -> float:
+    return math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - (df + 1) / 2 * math.log1p(t * t / df)) / math.sqrt(df * math.pi)
+
+
+@lru_cache(maxsize=10_000)
 def t_quantile(p: float, df: float) -> float:
+    """By Newton's steps from the normal quantile: it is too small and the distribution concave behind it, so they never overshoot."""
     if p == 0.5:
         return 0.0
-    return -t_quantile(1 - p, df) if p < 0.5 else inverse(lambda t: t_cdf(t, df), p, 0.0, 2.0)
+    if p < 0.5:
+        return -t_quantile(1 - p, df)
+    t = inverse(normal_cdf, p, 0.0, 2.0)
+    for _ in range(500):
+        step = (p - t_cdf(t, df)) / t_density(t, df)
+        t += step
+        if abs(step) <= 1e-13 * t:
+            break
+    return t
 
 
 def noncentral_t_cdf(t: float, df: float, shift: float) -> float:

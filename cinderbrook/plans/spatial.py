@@ -38,7 +38,7 @@ def overlay(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str,
     is measured once.
     """
     def dealt(df, geom, name):
-        box = bounding_box(F.element_at(F.col(geom), 1))
+        box = bounding_box(F.get(F.col(geom), F.lit(0)))
         return df.where(F.size(geom) > 0).withColumn(name, box).withColumn("__cell", F.explode(grid_cells(F.col(name), cell)))
 
     joined = dealt(left, left_geom, "__box_a").join(dealt(right, right_geom, "__box_b"), "__cell")
@@ -141,7 +141,7 @@ def clip_lines(lines: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     """(usgs_site, line_id, start_fraction, end_fraction): the stretches of lines inside the polygons."""
     from ..functions.geometry import interpolate, line_boundary_fractions, point_in_polygon
 
-    box_a, box_b = bounding_box(F.col("line")), bounding_box(F.element_at(F.col("geometry"), 1))
+    box_a, box_b = bounding_box(F.col("line")), bounding_box(F.get(F.col("geometry"), F.lit(0)))
     one = lines.withColumn("__a", box_a).withColumn("__cell", F.explode(grid_cells(F.col("__a"), cell)))
     two = polygons.withColumn("__b", box_b).withColumn("__cell", F.explode(grid_cells(F.col("__b"), cell)))
     joined = one.join(two, "__cell").where(boxes_meet(F.col("__a"), F.col("__b")) & (F.col("__cell") == first_shared_cell(F.col("__a"), F.col("__b"), cell)))
