@@ -266,12 +266,12 @@ def fetch_start(t: Tables):
     return D.fetch_start(t.orders.select(F.col("o_custkey").cast("string").alias("site"), F.col("o_orderdate").cast("date").alias("date")), "site", "date")
 
 
-@query("""SELECT o_custkey::VARCHAR AS usgs_site, o_orderdate::DATE AS date, round(coalesce(avg(o_totalprice) FILTER (o_orderstatus = 'F'), avg(o_totalprice) FILTER (o_orderstatus = 'O')), 4) AS value_std,
+@query("""SELECT o_custkey::VARCHAR AS usgs_site, o_orderdate::DATE AS date, round(coalesce(avg(o_totalprice) FILTER (o_orderstatus = 'F'), avg(o_totalprice) FILTER (o_orderstatus = 'O')), 6) AS value_std,
           CASE WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN 'NO3_NO2' ELSE 'NO3' END AS analyte_std FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2""")
 def coalesce_analytes(t: Tables):
     label = F.when(F.col("o_orderstatus") == "F", "NO3_NO2").when(F.col("o_orderstatus") == "O", "NO3").otherwise("other")
     rows = t.orders.select(F.col("o_custkey").cast("string").alias("usgs_site"), F.col("o_orderdate").cast("date").alias("date"), label.alias("analyte_std"), F.col("o_totalprice").alias("value_std"))
-    return C.coalesce_analytes(rows).withColumn("value_std", F.round("value_std", 4))
+    return C.coalesce_analytes(rows).withColumn("value_std", F.round("value_std", 6))
 
 
 @query("SELECT p_brand, min(p_size) AS loq, count(p_size) AS n, count(*) FILTER (p_size = m) AS n_at_loq, round(100e0 * count(*) FILTER (p_size = m) / count(p_size), 6) AS percent_at_loq FROM (SELECT *, min(p_size) OVER (PARTITION BY p_brand) AS m FROM part) GROUP BY 1")

@@ -158,13 +158,13 @@ def zonal_frequencies(t: Tables):
     return found.select("o_custkey", F.size("histogram").alias("n_classes"), F.aggregate(F.map_values("histogram"), F.lit(0).cast("long"), lambda a, b: a + b).alias("n"))
 
 
-@query(sql("""SELECT f.event_id, round(coalesce(avg(o_totalprice) FILTER (year(o_orderdate) - year(ig_date) = 3), avg(o_totalprice) FILTER (year(o_orderdate) - year(ig_date) BETWEEN 3 AND 4)), 4) AS composite
+@query(sql("""SELECT f.event_id, round(coalesce(avg(o_totalprice) FILTER (year(o_orderdate) - year(ig_date) = 3), avg(o_totalprice) FILTER (year(o_orderdate) - year(ig_date) BETWEEN 3 AND 4)), 6) AS composite
               FROM fires f JOIN orders ON o_custkey::VARCHAR = f.usgs_site WHERE o_orderstatus <> 'P' AND dayofyear(o_orderdate) BETWEEN 171 AND 244 GROUP BY 1 HAVING composite IS NOT NULL""", "fires"))
 def seasonal_composite(t: Tables):
     scenes = t.orders.select(F.col("o_custkey").cast("string").alias("usgs_site"), F.col("o_orderdate").cast("date").alias("date"), "o_totalprice", (F.col("o_orderstatus") != "P").alias("clear"), "o_orderkey")
     joined = scenes.join(t.events_on_sites(), "usgs_site")
     halves = [joined.where("o_orderkey % 2 = 0"), joined.where("o_orderkey % 2 = 1")]
-    return S.seasonal_composite(halves, ["event_id"], "ig_date", "o_totalprice").withColumn("composite", F.round("composite", 4))
+    return S.seasonal_composite(halves, ["event_id"], "ig_date", "o_totalprice").withColumn("composite", F.round("composite", 6))
 
 
 def boxes(t: Tables):

@@ -31,7 +31,7 @@ class Tables:
     def observations(self) -> DataFrame:
         lines = self.lineitem.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey"))
         found = lines.groupBy(F.col("o_custkey").cast("string").alias("usgs_site"), F.col("o_orderdate").cast("date").alias("date"))
-        return found.agg(F.round(F.avg("l_extendedprice"), 4).alias("value_std"))
+        return found.agg(F.round(F.avg("l_extendedprice"), 6).alias("value_std"))
 
     def events_on_sites(self) -> DataFrame:
         return self.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("usgs_site"), F.col("o_orderkey").cast("string").alias("event_id"), F.col("o_orderdate").cast("date").alias("ig_date"), F.col("o_totalprice").alias("area"))
@@ -45,7 +45,7 @@ ROLES = {
     "flow": "flow AS (SELECT o_custkey::VARCHAR AS usgs_site, o_orderdate::DATE AS date, round(sum(o_totalprice), 2) AS flow, max(o_orderstatus) AS \"Flow_cd\" FROM orders GROUP BY 1, 2)",
     "banded": """cuts AS (SELECT usgs_site, quantile_disc(flow, 0.25) AS p25, quantile_disc(flow, 0.5) AS p50, quantile_disc(flow, 0.75) AS p75 FROM flow GROUP BY 1),
         banded AS (SELECT f.usgs_site, f.date, f.flow, CASE WHEN flow <= p25 THEN 1 WHEN flow <= p50 THEN 2 WHEN flow <= p75 THEN 3 ELSE 4 END AS quartile FROM flow f JOIN cuts USING (usgs_site))""",
-    "obs": "obs AS (SELECT o_custkey::VARCHAR AS usgs_site, o_orderdate::DATE AS date, round(avg(l_extendedprice), 4) AS value_std FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)",
+    "obs": "obs AS (SELECT o_custkey::VARCHAR AS usgs_site, o_orderdate::DATE AS date, round(avg(l_extendedprice), 6) AS value_std FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)",
     "fires": "fires AS (SELECT o_custkey::VARCHAR AS usgs_site, o_orderkey::VARCHAR AS event_id, o_orderdate::DATE AS ig_date, o_totalprice AS area FROM orders WHERE o_orderpriority = '1-URGENT')",
     "sites": "sites AS (SELECT c_custkey::VARCHAR AS usgs_site, abs(c_acctbal) + 1000 AS catch_area, c_nationkey AS region_id FROM customer)",
     "groups": """groups AS (
