@@ -69,3 +69,8 @@ def consecutive_pairs(df: DataFrame, keys: Sequence[str], value: str, least_gap:
     w = Window.partitionBy(*keys).orderBy(value)
     paired = df.select(*keys, value).distinct().withColumn("to_value", F.lead(value).over(w)).withColumn("segment_index", F.row_number().over(w))
     return paired.where(F.col("to_value") - F.col(value) > least_gap).withColumnRenamed(value, "from_value")
+
+
+def sampled_keys(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
+    """n keys chosen by a hash: the same ones on every run, whatever the partitions."""
+    return df.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)

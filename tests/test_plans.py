@@ -19,7 +19,9 @@ from cinderbrook.functions import geometry as G
 from cinderbrook.functions import scalars as S
 from cinderbrook.operators import joins as J
 from cinderbrook.operators import quality as Q
+from cinderbrook.operators import windows as W
 from cinderbrook.plans import chemistry, covariates, discharge, events, network, prepost, seasonal, spatial, statistics
+from cinderbrook.plans.rebuild import rebuild
 from cinderbrook.sources import readers, writers
 from cinderbrook.streaming import ingest
 
@@ -257,6 +259,35 @@ def test_topology_snaps_crossings_and_splits(spark):
     assert network.split_edges(edges, parts).where("original_edge_id = 1").select(F.sum(G.line_length(F.col("line")))).first()[0] == pytest.approx(10.0)
 
 
+def test_paths_clipping_and_sampling(spark):
+    line = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    lines = spark.createDataFrame([("s", 1, line((0, 0), (5, 0))), ("s", 2, line((9, 0), (5, 0))), ("s", 3, line((9, 0), (9, 3)))], "usgs_site string, edge_id long, line array<struct<x:double,y:double>>")
+    edges = network.build_topology(lines).withColumn("cost", F.col("length_m"))
+    vertex = {(r.edge_id, k): r[k] for r in edges.collect() for k in ("source", "target")}
+    starts = spark.createDataFrame([("s", vertex[1, "source"])], "usgs_site string, vertex_id long")
+    goal = spark.createDataFrame([("s", "e", vertex[3, "target"])], "usgs_site string, event_id string, vertex_id long")
+    fires = spark.createDataFrame([("s", "e"), ("s", "none")], "usgs_site string, event_id string")
+    paths = network.event_paths(network.site_distances(edges, starts, goal, fires), edges).collect()
+    assert [(r.event_id, r.distance_m, r.path_edge_ids, r.n_edges, len(r.lines)) for r in paths] == [("e", 12.0, [1, 2, 3], 3, 1), ("none", None, [], 0, 0)]
+    assert [(p.x, p.y) for p in paths[0].lines[0]] in ([(0, 0), (5, 0), (9, 0), (9, 3)], [(9, 3), (9, 0), (5, 0), (0, 0)])
+    box = spark.createDataFrame([("s", [line((1, -1), (3, -1), (3, 1), (1, 1))])], f"usgs_site string, geometry {spatial.RINGS}")
+    clipped = spatial.clip_lines(lines.withColumnRenamed("edge_id", "line_id").drop("usgs_site"), box, 2.0)
+    assert values(clipped, "line_id", "start_fraction", "end_fraction") == [(1, pytest.approx(0.2), pytest.approx(0.6))]
+    keys = spark.range(100).withColumnRenamed("id", "k")
+    assert values(W.sampled_keys(keys, "k", 5), "k") == values(W.sampled_keys(keys.repartition(7), "k", 5), "k")
+
+
+def test_rebuild_warns_per_analyte(spark, tmp_path):
+    columns = "usgs_site string, ActivityStartDate date, USGSPCode string, ResultMeasureValue double, `ResultMeasure.MeasureUnitCode` string, ActivityMediaName string, ActivityMediaSubdivisionName string, ActivityTypeCode string, ResultSampleFractionText string"
+    results = spark.createDataFrame([("a", D(2000, 1, 1), "00618", 1.0, "mg/l", "Water", "Surface Water", "Sample", "Dissolved")], columns)
+    others = spark.createDataFrame([], "usgs_site string, date date, analyte string, mean double, unit string")
+    flow = spark.createDataFrame([("a", D(2000, 1, 1), 1.0, 2)], "usgs_site string, date date, flow double, quartile int")
+    groups = spark.createDataFrame([("a", 2000, D(2000, 2, 1), D(2000, 2, 1), 1.0, ["e"])], "usgs_site string, year int, start_date date, end_date date, cum_fire_area double, events array<string>")
+    got = rebuild(results, others, results.select("usgs_site"), flow, groups, str(tmp_path), ["nitrate", "gold"])
+    assert [(o.step, o.status) for o in got] == [("water_chem_std", "success"), ("nitrate", "success"), ("gold", "warning"), ("check", "error")]
+    assert values(spark.read.parquet(f"{tmp_path}/nitrate_counts"), "before_count", "after_count") == [(1, 0)]
+
+
 def test_overlay_finds_each_pair_once(spark):
     ring = lambda x, y, w: [[{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + w, y), (x + w, y + w), (x, y + w))]]
     schema = f"usgs_site string, geometry {spatial.RINGS}"
