@@ -161,6 +161,6 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that exact_dedup keeps, with all columns."""
+    """The rows of df whose id exact_dedup keeps, with all columns; rows that share an id, or have none, stay or go together."""
     kept = exact_dedup(df, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id"))
     return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")

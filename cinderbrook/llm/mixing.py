@@ -76,9 +76,10 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows that the mix takes, with all columns, once for each time it takes any of their words.
 
-    The one row of each source that its budget cuts stays whole.
+    The one row of each source that its budget cuts stays whole. Rows that share an id are all taken as often as the one of them
+    that is taken most.
     """
     mixed = mix_sources(df, id_col, text_col, source_col).where("taken > 0")
-    times = mixed.select(F.col(id_col).alias("__mix_id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    times = mixed.groupBy(F.col(id_col).alias("__mix_id")).agg(F.max(F.ceil(F.col("taken") / F.col("size")).cast("int")).alias("__times"))
     joined = df.join(times, F.col(id_col).eqNullSafe(F.col("__mix_id")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*df.columns)

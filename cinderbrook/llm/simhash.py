@@ -146,6 +146,6 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose id is the smallest of its component, with all columns."""
+    """The rows of df whose id is the smallest of its component, with all columns; rows that share an id stay or go together."""
     kept = simhash_groups(df, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept_id"))
     return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")

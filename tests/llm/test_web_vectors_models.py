@@ -259,3 +259,22 @@ def test_pipeline_stages_against_plain_python(spark, sf_dir):
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     codec = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert all(r.ids == codec.encode_ordinary(text[r.doc_id]) for r in kept["token_ids"])
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    """Nulls in every column, empty and long texts, repeated rows; and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "plain words of one row", "en", "a", 1), (1, "plain words of one row", "en", "a", 1), (2, None, None, None, None), (3, "", "en", "b", 0), (None, "a text without an id", "en", "a", 1), (4, "word " * 30_000, "en", None, 1), (5, "x" * 60_000, "en", "b", 1)]
+    odd = spark.createDataFrame(rows, schema)
+    kept = {"toxicity": 7, "exact_copies": 6, "near_copies": None, "source_mix": None, "token_ids": 7}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, sf_dir)
+        found = got.collect()
+        assert kept[name] is None or len(found) == kept[name]
+        assert name == "token_ids" or got.columns == odd.columns
+        if name == "near_copies":  # the two wordless rows have one fingerprint
+            assert sorted((r.doc_id for r in found), key=str) == [1, 1, 2, 4, 5, None]
+        if name == "source_mix":
+            taken = Counter(r.doc_id for r in found)
+            assert taken[2] == taken[3] == 0 and taken[1] % 2 == 0 and taken[4] >= 1
+        assert stage(spark, odd.limit(0), sf_dir).count() == 0
