@@ -39,6 +39,8 @@ NEIGHBOURS = 9
 PRIOR_WEIGHT = 0.3
 #: Examples in a block of the index.
 BLOCK = 64
+#: Words that a worker remembers the features of; and a tenth as many profiles of documents.
+MEMO = 100_000
 
 WORDS = re.compile(r"\w+")
 
@@ -64,7 +66,7 @@ class Chosen(dict):
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         found = tuple(self.numbers[f] for f in word_features(word) if f in self.numbers)
-        if len(self) < 500_000:
+        if len(self) < MEMO:
             self[word] = found
         return found
 
@@ -153,7 +155,7 @@ class BlockMaxIndex:
 
     def remembered(self, counts: tuple, model: ToxicityModel) -> tuple[float, list]:
         if counts not in self.memo:
-            if len(self.memo) > 50_000:
+            if len(self.memo) > MEMO // 10:
                 self.memo.clear()
             near = self.nearest(model.vector(dict(counts)), model.neighbours)
             self.memo[counts] = (model.vote(near), near)
