@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -212,9 +213,13 @@ def region_shares(t: Tables):
 
 
 def edges(t: Tables):
-    """Suppliers and parts as vertices of one network per return flag."""
-    rows = t.lineitem.where("l_linenumber = 1").select(F.col("l_returnflag").alias("usgs_site"), F.col("l_orderkey").alias("edge_id"), F.col("l_suppkey").alias("source"), (F.col("l_partkey") + 1_000_000_000).alias("target"), F.col("l_quantity").alias("cost"))
-    return rows
+    """Suppliers and parts as vertices of one network per return flag, an edge for each line.
+
+    Order and line number repeat, so lines are numbered within their order; lines that tie are the same edge.
+    """
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"))
+    rows = t.lineitem.withColumn("edge_id", F.col("l_orderkey") * 1_000_000 + number)
+    return rows.select(F.col("l_returnflag").alias("usgs_site"), "edge_id", F.col("l_suppkey").alias("source"), (F.col("l_partkey") + 1_000_000_000).alias("target"), F.col("l_quantity").alias("cost"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT l_suppkey AS a, l_partkey + 1000000000 AS b FROM lineitem UNION SELECT l_partkey + 1000000000, l_suppkey FROM lineitem),
@@ -228,7 +233,7 @@ def network_hops(t: Tables):
 def distances(t: Tables):
     network = edges(t)
     starts = network.groupBy("usgs_site").agg(F.min("source").alias("vertex_id"))
-    events = network.select("usgs_site", F.col("edge_id").cast("string").alias("event_id"), F.col("target").alias("vertex_id")).where("cast(event_id as long) % 9 = 0")
+    events = network.select("usgs_site", F.col("edge_id").cast("string").alias("event_id"), F.col("target").alias("vertex_id"))
     return N.site_distances(network, starts, events, events)
 
 
