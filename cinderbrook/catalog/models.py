@@ -208,7 +208,7 @@ def sites_in_study_area(t: Tables):
 
 @query()
 def region_shares(t: Tables):
-    regions = boxes(t).where("cast(usgs_site as int) % 5 = 0").select(F.col("usgs_site").cast("int").alias("region_id"), "geometry")
+    regions = boxes(t).select(F.col("usgs_site").cast("int").alias("region_id"), "geometry")
     return S.dominant_region(S.region_shares(boxes(t).select("usgs_site", "geometry"), regions, 2.0))
 
 
@@ -250,7 +250,7 @@ def distance_run_log(t: Tables):
 @query()
 def snapped_points(t: Tables):
     v = lambda k: F.col("embedding")[k].cast("double")
-    lines = t.embeddings.where("vec_id % 10 = 0").select(F.col("label").cast("string").alias("usgs_site"), F.col("vec_id").alias("edge_id"), F.array(G.point(v(0), v(1)), G.point(v(2), v(3)), G.point(v(4), v(5))).alias("line"))
+    lines = t.embeddings.select(F.col("label").cast("string").alias("usgs_site"), F.col("vec_id").alias("edge_id"), F.array(G.point(v(0), v(1)), G.point(v(2), v(3)), G.point(v(4), v(5))).alias("line"))
     points = t.embeddings.select(F.col("label").cast("string").alias("usgs_site"), F.col("vec_id").alias("point_id"), v(6).alias("x"), v(7).alias("y"))
     return N.snap_points(points, lines, exact=0.01)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geometry import bounding_box, boxes_meet, first_shared_cell, grid_cells, overlap_area, spheroidal_area
+from ..functions.geometry import bounding_box, boxes_meet, first_shared_cell, grid_cells, is_upright, overlap_area, spheroidal_area
 from ..operators.joins import not_in
 from ..operators.windows import first_per_key
 
@@ -35,15 +35,25 @@ def overlay(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str,
     """Pairs of polygons that overlap, with the overlap's planar area.
 
     Both sides are dealt to the cells their boxes touch and joined by cell; a pair stays in the first cell that both share, so it
-    is measured once.
+    is measured once. Pairs of upright rectangles are measured by their boxes alone.
     """
     def dealt(df, geom, name):
         box = bounding_box(F.get(F.col(geom), F.lit(0)))
-        return df.where(F.size(geom) > 0).withColumn(name, box).withColumn("__cell", F.explode(grid_cells(F.col(name), cell)))
+        boxed = df.where(F.size(geom) > 0).withColumn(name, box).withColumn("__cell", F.explode(grid_cells(F.col(name), cell)))
+        upright = F.coalesce(is_upright(F.col(geom)), F.lit(False))
+        return boxed.where(upright), boxed.where(~upright)
 
-    joined = dealt(left, left_geom, "__box_a").join(dealt(right, right_geom, "__box_b"), "__cell")
-    joined = joined.where(boxes_meet(F.col("__box_a"), F.col("__box_b")) & (F.col("__cell") == first_shared_cell(F.col("__box_a"), F.col("__box_b"), cell)))
-    return joined.drop("__cell", "__box_a", "__box_b").withColumn("overlap_area", overlap_udf(left_geom, right_geom)).where("overlap_area > 0")
+    def met(one, two):
+        joined = one.join(two, "__cell")
+        joined = joined.where(boxes_meet(F.col("__box_a"), F.col("__box_b")) & (F.col("__cell") == first_shared_cell(F.col("__box_a"), F.col("__box_b"), cell)))
+        return joined.drop("__cell")
+
+    a, b = F.col("__box_a"), F.col("__box_b")
+    side = lambda low, high: F.greatest(F.least(a[high], b[high]) - F.greatest(a[low], b[low]), F.lit(0.0))
+    (plain_a, other_a), (plain_b, other_b) = dealt(left, left_geom, "__box_a"), dealt(right, right_geom, "__box_b")
+    upright = met(plain_a, plain_b).withColumn("overlap_area", side("x1", "x2") * side("y1", "y2"))
+    others = met(other_a, plain_b.unionByName(other_b)).unionByName(met(plain_a, other_b)).withColumn("overlap_area", overlap_udf(left_geom, right_geom))
+    return upright.unionByName(others).drop("__box_a", "__box_b").where("overlap_area > 0")
 
 
 def share_inside(sites: DataFrame, area: DataFrame, cell: float, least_percent: float = 75.0) -> DataFrame:
@@ -72,8 +82,9 @@ def region_shares(sites: DataFrame, regions: DataFrame, cell: float, manual: Dat
     from ..functions.geometry import polygon_area
 
     kept = regions.where(~F.col("region_id").isin(*excluded)).select("region_id", F.col("geometry").alias("region_geometry"))
-    parts = overlay(sites.select("usgs_site", "geometry"), kept, "geometry", "region_geometry", cell)
-    found = parts.withColumn("percent_overlap", F.lit(100.0) * F.try_divide("overlap_area", polygon_area(F.col("geometry")))).select("usgs_site", "region_id", "overlap_area", "percent_overlap")
+    measured = sites.select("usgs_site", "geometry", polygon_area(F.col("geometry")).alias("__area"))  # once per site, not per pair
+    parts = overlay(measured, kept, "geometry", "region_geometry", cell)
+    found = parts.withColumn("percent_overlap", F.lit(100.0) * F.try_divide("overlap_area", "__area")).select("usgs_site", "region_id", "overlap_area", "percent_overlap")
     return found if manual is None else found.unionByName(not_in(manual, found, ["usgs_site"]))
 
 
