@@ -6,16 +6,21 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words in every contract of this subpackage: runs without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: A side of at most so many narrow rows is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: A side of at most so many bytes, as measured, is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
+#: Keys with over one part in so many of the rows are hot: join_counted broadcasts what they are joined with.
+HEAVY = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,34 +44,88 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables of one operator run, written below the shared folder; they cut lineage and outlive executors.
 
-    drop() frees a table once the next one is written; the rest goes when the driver ends.
+    drop() frees a table once the next one is written. What a returned DataFrame still reads goes with the `freed` block in which
+    its result is written, or else when the driver's Python or JVM ends, whether the session was stopped before or not.
     """
 
+    _open: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.close)
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.files = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.files.deleteOnExit(self.path(self.root))
+        self._open.append(self)
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{label}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{label}")
 
     def drop(self, label: str = "") -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.files.delete(self.path(f"{self.root}/{label}"), True)
 
     def close(self) -> None:
-        if self.spark.sparkContext._jsc is None:
-            return
-        try:
+        if self in self._open:
+            self._open.remove(self)
             self.drop()
-        except OSError:  # the JVM is gone already; the folder stays for the cluster's own cleaning
+
+
+@contextmanager
+def freed() -> Iterator[None]:
+    """Frees on leaving the scratch tables that operators made inside; write their results before."""
+    before = list(Scratch._open)
+    try:
+        yield
+    finally:
+        for scratch in [s for s in Scratch._open if s not in before]:
+            scratch.close()
+
+
+@atexit.register
+def free_all() -> None:
+    for scratch in list(Scratch._open):
+        try:
+            scratch.close()
+        except (OSError, Py4JError, RuntimeError):  # the JVM is gone already; its own hook deletes the folder
             pass
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `limit` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def value_bytes(column: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = F.lit(16) if not isinstance(kind.elementType, (T.StringType, T.BinaryType)) else F.lit(64)
+        return F.greatest(F.size(column), F.lit(0)) * inner + 16
+    if isinstance(kind, T.StructType):
+        return sum((value_bytes(column[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(8)
+
+
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows were measured to take at most `limit` bytes; else as it is, for a shuffled join.
+
+    df should be cheap to read, such as a scratch table.
+    """
+    row = sum((value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= limit else df
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows joined (inner) with `keyed`, which has a row per key and in `count` how many of `rows` have that key.
+
+    A key with over 1 / HEAVY of all counted rows goes by broadcast: there are at most HEAVY such keys whatever the table. The
+    others are joined by a shuffle, in which no key is hot. Both sides should be cheap to read; `keyed` is broadcast whole if
+    it is small.
+    """
+    if keyed.limit(HEAVY + 1).count() <= HEAVY:
+        return rows.join(F.broadcast(keyed), keys)
+    total = keyed.agg(F.sum(count)).first()[0]
+    is_heavy = F.col(count) > F.lit(total) / HEAVY
+    heavy = keyed.where(is_heavy)
+    light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(keyed.where(~is_heavy), keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(light)
 
 
 def whole_bytes(column: pa.Array) -> Iterator[bytes | None]:

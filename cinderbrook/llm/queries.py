@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip, read_ranks
-from .common import shared_dir
+from .common import Scratch
 from .embedding_dedup import embedding_groups
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
@@ -46,7 +45,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives go to the shared folder, with least_bytes 0: any equal payloads revisit."""
-    return warc_round_trip(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    return warc_round_trip(table(spark, sf_dir, "pages"), f"{Scratch(spark, 'warc-archives').root}/files")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
