@@ -7,6 +7,10 @@ Reading: tasks read any stretch of a file, cut at each occurrence of the version
 occurrence is only a candidate: tasks emit its offset and the offset at which a record there would end. Pointer jumping from each
 file's start, over stretches of a file at a time, keeps the candidates that the chain of records reaches and no others. Pieces
 of a record whose payload holds the version line are then put together again.
+
+Archives are read twice, for the boundaries and for the payloads, so that payloads needn't be stored in between. Both readings cut
+files into the same stretches whatever the session's settings and executors are by then, and the second one fails if a stretch
+doesn't have the pieces and bytes that the first one found in it.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, checked_broadcast, in_batches
+from .common import Scratch, checked_broadcast, in_batches, join_counted
 
 #: What a record begins with, and so what archives are cut at.
 VERSION = "WARC/1.1\r\n"
@@ -37,10 +41,11 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
-def record_types(payloads: DataFrame, least_bytes: int) -> DataFrame:
-    """(id, refers_to) of the rows of (id, n, same) whose payload a row with a larger id has as well."""
-    groups = payloads.where((F.col("n") >= least_bytes) & F.col("id").isNotNull()).groupBy("same").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    return payloads.join(groups.drop("size"), "same").where("id <> refers_to").select("id", "refers_to").distinct()
+def record_types(payloads: DataFrame, least_bytes: int, scratch: Scratch) -> DataFrame:
+    """(id, same, refers_to) of the rows of (id, n, same) whose payload a row with a larger id has as well."""
+    groups = payloads.where((F.col("n") >= least_bytes) & F.col("id").isNotNull()).groupBy("same").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("size"))
+    groups = scratch.keep(groups.where("size > 1"), "groups")
+    return join_counted(payloads, groups, ["same"], "size").where("id <> refers_to").select("id", "same", "refers_to").distinct()
 
 
 def header(name: str, value: Column) -> Column:
@@ -54,13 +59,16 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
 
     The payload is the column's text in UTF-8; null counts as empty. Of rows with equal payloads of at least `least_bytes`, the one
     with the largest id is a response and the others revisit it without a block of their own; all others are responses. A row
-    without an id is a response without an id; rows that repeat an id share its type. An empty table writes no records.
+    without an id is a response without an id. Rows that repeat an id are typed by their payloads: with one payload they share a
+    type, with several each is a response or a revisit on its own, and a revisit's digest tells which response of that id it means.
+    An empty table writes no records.
     """
     scratch = Scratch(df.sparkSession, "warc-types")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    payloads = rows.select("id", F.octet_length("payload").alias("n"), F.unhex(F.sha2(F.col("payload").cast("binary"), 256)).alias("same"))
-    revisits = scratch.keep(record_types(scratch.keep(payloads, "payloads"), least_bytes), "revisits").withColumnRenamed("id", "revisit_id")
-    typed = rows.join(checked_broadcast(revisits), F.col("id") == F.col("revisit_id"), "left")
+    rows = rows.withColumn("same", F.unhex(F.sha2(F.col("payload").cast("binary"), 256)))
+    payloads = scratch.keep(rows.select("id", F.octet_length("payload").alias("n"), "same"), "payloads")
+    revisits = scratch.keep(record_types(payloads, least_bytes, scratch), "revisits")
+    typed = rows.join(checked_broadcast(revisits), ["id", "same"], "left")
     is_revisit = F.col("refers_to").isNotNull()
     block = F.when(is_revisit, F.lit("")).otherwise(F.col("payload"))
     record_id = F.concat(F.lit("<urn:page:"), F.col("id").cast("string"), F.lit(">"))
@@ -104,46 +112,64 @@ def parse_head(piece: bytes) -> tuple[int, dict[str, str]] | None:
     return len(VERSION) + end + 4 + int(length) + RECORD_END, fields
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
+def reading_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for the scans of one reading, so that files are cut by their sizes only and alike in each of them.
+
+    Without spark.sql.files.minPartitionNum, the size of splits would follow the executors that are alive.
+    """
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.files.minPartitionNum", "1")
+    return own
+
+
+def pieces(own: SparkSession, path: str) -> DataFrame:
     """(file, block, value): what lies between version lines, in stretches of files that tasks read."""
-    raw = spark.read.option("lineSep", VERSION).option("recursiveFileLookup", "true").text(path)
+    raw = own.read.option("lineSep", VERSION).option("recursiveFileLookup", "true").text(path)
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
 
-def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, int, bytes]]:
-    """(file, block, number in the block, offset from the block's first piece, bytes); rows come in the order of the file."""
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, int, bytes | None]]:
+    """(file, block, number in the block, offset from the block's first piece, bytes); rows come in the order of the file.
+
+    After a block's last piece comes a row with null bytes: how many pieces the block has, and where the next one would begin.
+    """
     now, number, offset = None, 0, 0
     for batch in batches:
         for file, block, value in zip(batch.column(0), batch.column(1), batch.column(2)):
             where, data = (file.as_py(), block.as_py()), value.as_py()
             if where != now:
+                if now:
+                    yield *now, number, offset, None
                 now, number, offset = where, 0, 0
             yield *where, number, offset, data
             number += 1
             offset += len(data) + len(VERSION)
+    if now:
+        yield *now, number, offset, None
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
+def candidates(own: SparkSession, path: str) -> DataFrame:
     """(file, block, number, at, size, reach): of each piece its place, its bytes, and the bytes from its version line to its record's end."""
     schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("number", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("reach", pa.int64())])
 
     def found(batches):
         def rows():
             for file, block, number, at, data in numbered(batches):
-                head = parse_head(data)
-                yield file, block, number, at, len(data), head[0] if head else None
+                if data is not None:
+                    head = parse_head(data)
+                    yield file, block, number, at, len(data), head[0] if head else None
 
         yield from in_batches(rows(), schema, lambda row: 160)
 
-    return pieces(spark, path).mapInArrow(found, "file string, block long, number long, at long, size long, reach long")
+    return pieces(own, path).mapInArrow(found, "file string, block long, number long, at long, size long, reach long")
 
 
 def stretch_bases(found: DataFrame) -> DataFrame:
     """(file, block, base, limit, file_end): where each stretch's first piece begins, where the next one's would, the file's size."""
-    sizes = found.groupBy("file", "block").agg(F.sum(F.col("size") + len(VERSION)).alias("bytes"))
+    sizes = found.groupBy("file", "block").agg(F.sum(F.col("size") + len(VERSION)).alias("bytes"), F.count(F.lit(1)).alias("pieces"))
     whole, along = Window.partitionBy("file"), Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("base", F.coalesce(F.sum("bytes").over(along), F.lit(0))).withColumn("file_end", F.sum("bytes").over(whole) - len(VERSION))
-    return bases.select("file", "block", "base", (F.col("base") + F.col("bytes") - len(VERSION)).alias("limit"), "file_end")
+    return bases.select("file", "block", "base", (F.col("base") + F.col("bytes") - len(VERSION)).alias("limit"), "file_end", "bytes", "pieces")
 
 
 def record_entries(scratch: Scratch, stretches: DataFrame) -> DataFrame:
@@ -220,21 +246,27 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     Only what the chain of records from a file's start reaches counts. A file that breaks off yields the records before the break.
     Missing headers are null; a folder without records gives an empty result.
     """
-    scratch = Scratch(spark, "warc-read")
-    found = scratch.keep(candidates(spark, path), "candidates")
+    scratch, own = Scratch(spark, "warc-read"), reading_session(spark)
+    found = scratch.keep(candidates(own, path), "candidates")
     bases = scratch.keep(stretch_bases(found), "bases")
     owned = scratch.keep(owned_pieces(scratch, found, bases), "owned")
     several = owned.where("head is not null").groupBy("file", "head").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
     parts = owned.join(several, ["file", "head"]).select("file", "block", "number", "head")
     none = owned.where("head is null").select("file", "block", "number", "head")
     odd = scratch.keep(parts.unionByName(none).withColumn("odd", F.lit(True)), "odd")  # all other pieces are a record each
+    for label in ("candidates", "owned", "stretches", "heads"):
+        scratch.drop(label)
     schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("number", pa.int64()), ("at", pa.int64()), ("value", pa.binary())])
 
     def read(batches):
-        yield from in_batches(numbered(batches), schema, lambda row: len(row[4]) + 64)
-
-    every = pieces(spark, path).mapInArrow(read, "file string, block long, number long, at long, value binary")
-    marked = every.join(checked_broadcast(odd), ["file", "block", "number"], "left").join(checked_broadcast(bases.select("file", "block", "base")), ["file", "block"])
+        yield from in_batches(numbered(batches), schema, lambda row: len(row[4] or b"") + 64)
+
+    every = pieces(own, path).mapInArrow(read, "file string, block long, number long, at long, value binary")
+    every = checked_broadcast(bases.select("file", "block", "base", "bytes", "pieces")).join(every, ["file", "block"], "right")
+    changed = F.col("base").isNull() | (F.col("value").isNull() & ((F.col("at") != F.col("bytes")) | (F.col("number") != F.col("pieces"))))
+    fail = F.raise_error(F.concat(F.lit("the archive was cut or changed between two readings: "), F.col("file")))
+    every = every.where(F.when(changed, fail.cast("boolean")).otherwise(F.col("value").isNotNull()))
+    marked = every.join(checked_broadcast(odd), ["file", "block", "number"], "left")
     whole = marked.where("odd is null").select("file", (F.col("base") + F.col("at") - len(VERSION)).alias("offset"), F.col("value").alias("piece"))
     split = marked.where("head is not null").select("file", "head", "block", "number", "value")
     stitched = split.groupBy("file", "head").applyInArrow(joined_pieces, "file string, offset long, piece binary")
@@ -266,18 +298,21 @@ def parsed_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def warc_round_trip(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *, least_bytes: int = 0) -> DataFrame:
     """Writes df's archives to `path`, reads them back and returns per row: id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Both payload columns are of the full payload as read: a revisit's are those of the response that it names.
+    Both payload columns are of the full payload as read: a revisit's are those of the response that it names by id and digest.
+    Null payloads count as empty, repeated ids and rows stay, an empty table gives an empty result; other columns aren't read.
     """
     spark = df.sparkSession
     write_warc(df, path, id_col, url_col, payload_col, least_bytes=least_bytes)
     records = read_warc(spark, path)
     page = lambda c: F.regexp_extract(c, r"<urn:page:(-?[0-9]+)>", 1).try_cast("long")
-    read = records.select(page("record_id").alias("id"), F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to"), F.octet_length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("digest"))
-    read = Scratch(spark, "warc-records").keep(read, "read")
-    revisits = read.where("record_type = 'revisit'")
-    named = revisits.select(F.col("refers_to").alias("named")).distinct()
+    scratch = Scratch(spark, "warc-records")
+    read = records.select(page("record_id").alias("id"), F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to"), F.octet_length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("digest"), F.regexp_replace("payload_digest", "^sha1:", "").alias("named_digest"))
+    read = scratch.keep(read, "read")
     responses = read.where("record_type = 'response'")
-    targets = responses.join(named, F.col("id") == F.col("named"), "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("digest").alias("digest")).withColumnRenamed("id", "named")
-    resolved = revisits.drop("n", "digest").join(targets, F.col("refers_to") == F.col("named"), "left")
+    revisits = read.where("record_type = 'revisit'").select("id", "record_type", "refers_to", "named_digest")
+    means = ["refers_to", "named_digest"]
+    named = scratch.keep(revisits.groupBy(*means).agg(F.count(F.lit(1)).alias("times")), "named")
+    meant = responses.select(F.col("id").alias("refers_to"), F.col("digest").alias("named_digest"), "n", "digest").dropDuplicates(means)
+    resolved = join_counted(revisits, scratch.keep(named.join(meant, means, "left"), "meant"), means, "times")
     columns = [F.col("id").alias(id_col), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"]
     return responses.select(*columns).unionByName(resolved.select(*columns))
