@@ -2,7 +2,8 @@
 
 Pages that an allow rule fits seed trust at their hosts, pages that a block rule fits seed distrust. Trust follows links between
 hosts and distrust runs against them: both are personalised PageRank, summed up as the walk's steps from the seeds, one table per
-step in Spark. A host is blocked if distrust is more than a given part of what reached it; what nothing reached is allowed.
+step in Spark. The walk ends when next to nothing is on its way and no step reaches a host that none reached before. A host is
+blocked if distrust is more than a given part of what reached it; what nothing reached is allowed.
 """
 
 from __future__ import annotations
@@ -22,8 +23,7 @@ RULES = (
 )
 #: Chance that the walk goes on.
 DAMPING = 0.85
-#: Steps of the walk, at most; it also ends when less than TOLERANCE of the seeds is on its way.
-STEPS = 30
+#: The walk goes on while more than this part of the seeds is on its way.
 TOLERANCE = 1e-4
 #: Part of distrust in what reached a host beyond which it is blocked.
 THRESHOLD = 0.5
@@ -51,36 +51,42 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
     return found
 
 
-def host_scores(scratch: Scratch, seeds: DataFrame, links: DataFrame, damping: float, steps: int, tolerance: float) -> DataFrame:
+def host_scores(scratch: Scratch, seeds: DataFrame, links: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """(host, trust, distrust) from seeds (host, trust, distrust) and links (src, dst, n) between different hosts."""
     forward = links.select(F.lit("trust").alias("kind"), "src", "dst", "n")
     backward = links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    edges = forward.unionByName(backward)
+    edges = scratch.keep(forward.unionByName(backward), "links")
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("out"))
-    edges = scratch.keep(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("share")), "edges")
+    edges = scratch.keep(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out") * damping).alias("share")), "edges")
     seeded = seeds.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("trust").alias("x")), F.struct(F.lit("distrust").alias("kind"), F.col("distrust").alias("x")))).alias("s"))
-    walk = [scratch.keep(seeded.select("s.kind", "host", F.col("s.x").cast("double").alias("x")).where("x > 0"), "walk-0")]
-    start = walk[0].agg(F.sum("x")).first()[0] or 0.0
-    for step in range(1, steps + 1):
-        moved = walk[-1].join(edges, (walk[-1].kind == edges.kind) & (walk[-1].host == edges.src))
-        moved = moved.groupBy(edges.kind, F.col("dst").alias("host")).agg(F.sum(F.col("x") * F.col("share") * damping).alias("x"))
-        walk.append(scratch.keep(moved, f"walk-{step}"))
-        if (walk[-1].agg(F.sum("x")).first()[0] or 0.0) < tolerance * start:
+    seeded = seeded.select("s.kind", "host", F.col("s.x").cast("double").alias("x")).where("x > 0")
+    walk = scratch.keep(seeded.withColumn("total", F.col("x")), "walk-0")  # x: on its way from here; total: all that came by so far
+    start, step = walk.agg(F.sum("x")).first()[0] or 0.0, 0
+    while True:
+        step += 1
+        moved = walk.where("x is not null").join(edges.withColumnRenamed("src", "host"), ["kind", "host"])
+        moved = moved.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("x") * F.col("share")).alias("step"))
+        after = walk.join(moved, ["kind", "host"], "full").select("kind", "host", F.col("step").alias("x"), (F.coalesce("total", F.lit(0.0)) + F.coalesce("step", F.lit(0.0))).alias("total"), F.col("total").isNull().alias("new"))
+        walk = scratch.keep(after, f"walk-{step}").drop("new")
+        scratch.drop(f"walk-{step - 1}")
+        state = scratch.spark.read.parquet(f"{scratch.root}/walk-{step}").agg(F.coalesce(F.sum("x"), F.lit(0.0)), F.count(F.when(F.col("new"), 1))).first()
+        if state[0] <= tolerance * start and not state[1]:
             break
-    reached = walk[0]
-    for part in walk[1:]:
-        reached = reached.unionByName(part)
-    by_kind = {kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("x"))), F.lit(0.0)) * (1 - damping) for kind in ("trust", "distrust")}
-    return reached.groupBy("host").agg(*(total.alias(kind) for kind, total in by_kind.items()))
+    scratch.drop("links")
+    by_kind = {kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("total"))), F.lit(0.0)) * (1 - damping) for kind in ("trust", "distrust")}
+    return walk.groupBy("host").agg(*(total.alias(kind) for kind, total in by_kind.items()))
 
 
-def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, rules: tuple[tuple[str, str, str], ...] = RULES, damping: float = DAMPING, steps: int = STEPS, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
+def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, rules: tuple[tuple[str, str, str], ...] = RULES, damping: float = DAMPING, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, trust, distrust (of the host).
 
     A null url, or one without ://, has empty host and path; its page neither seeds nor links. Null or empty html has no links;
     links within a host don't count. Repeated rows stay (and seed again); an empty table gives an empty result; other columns
-    aren't read.
+    aren't read. The walk has no bound on its steps: with damping below 1 it ends after some log(tolerance) / log(damping) of them,
+    or as many as lead from a seed to the farthest host.
     """
+    if not 0 <= damping < 1 or tolerance <= 0:
+        raise ValueError("damping must be below 1 and tolerance positive, or the walk doesn't end")
     scratch = Scratch(df.sparkSession, "urls")
     url = F.col(url_col).cast("string")
     pages = df.select(F.col(id_col).alias("id"), url_host(url).alias("host"), url_path(url).alias("path"))
@@ -90,7 +96,7 @@ def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     targets = F.array_distinct(F.transform(F.regexp_extract_all(F.col(html_col).cast("string"), F.lit(LINK), 1), lambda h: F.translate(h, UPPER, LOWER)))
     links = df.select(url_host(url).alias("src"), F.explode(targets).alias("dst")).where("src <> '' and dst <> src")
     links = links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    scores = scratch.keep(host_scores(scratch, seeds, links, damping, steps, tolerance), "scores")
+    scores = scratch.keep(host_scores(scratch, seeds, links, damping, tolerance), "scores")
     judged = pages.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
     share = F.round(F.try_divide(F.col("distrust"), F.col("trust") + F.col("distrust")), 9)
     verdict = F.coalesce(F.col("found.verdict"), F.when(share > threshold, "block").otherwise("allow"))
