@@ -214,16 +214,22 @@ class BytePairCodec:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
-_codecs: dict[int, BytePairCodec] = {}
+_codecs: dict[bytes, BytePairCodec] = {}
 
 
 def codec_of(broadcast) -> BytePairCodec:
-    """The vocabulary's codec, made once in each Python worker."""
-    ranks, pattern = broadcast.value
-    key = hash((len(ranks), pattern, next(iter(ranks), b"")))
-    if key not in _codecs:
-        _codecs[key] = BytePairCodec(ranks, pattern)
-    return _codecs[key]
+    """The vocabulary's codec, made once in each Python worker; told apart from others' by a digest of the whole vocabulary."""
+    ranks, pattern, digest = broadcast.value
+    if digest not in _codecs:
+        _codecs[digest] = BytePairCodec(ranks, pattern)
+    return _codecs[digest]
+
+
+def vocabulary_digest(ranks: dict[bytes, int], pattern: str) -> bytes:
+    whole = hashlib.sha256(pattern.encode())
+    for token, rank in sorted(ranks.items()):
+        whole.update(b"%d %d " % (rank, len(token)) + token)
+    return whole.digest()
 
 
 def encoded(batches: Iterator[pa.RecordBatch], vocabulary, text: int) -> Iterator[pa.RecordBatch]:
@@ -259,7 +265,7 @@ def decoded(batches: Iterator[pa.RecordBatch], vocabulary, ids: int) -> Iterator
 
 def shared_vocabulary(df: DataFrame, ranks: dict[bytes, int], pattern: str):
     """The vocabulary as a Spark broadcast: a few MB whatever the table."""
-    return df.sparkSession.sparkContext.broadcast((ranks, pattern))
+    return df.sparkSession.sparkContext.broadcast((ranks, pattern, vocabulary_digest(ranks, pattern)))
 
 
 def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,7 +276,7 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
 
 
 def bpe_decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, ids, decoded) per row: the binary column holds the bytes of the ids."""
+    """(id, ids, decoded) per row: the binary column holds the bytes of the ids; null or no ids stand for no bytes. Rows stay as they are."""
     vocabulary = shared_vocabulary(df, ranks, pattern)
     source = df.select(id_col, F.col(ids_col).alias("ids"))
     return source.mapInArrow(lambda batches: decoded(batches, vocabulary, 1), T.StructType([*source.schema.fields, T.StructField("decoded", T.BinaryType())]))
@@ -279,7 +285,9 @@ def bpe_decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
 def bpe_round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *, with_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids]): both operators and their digests in one pass over the texts.
 
-    ids_sha256 is over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the decoded bytes.
+    ids_sha256 is over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the decoded bytes. Null and empty
+    texts have no ids and the digests of nothing; very long texts are read whole; repeated rows stay; an empty table gives an empty
+    result; other columns aren't read.
     """
     vocabulary = shared_vocabulary(df, ranks, pattern)
     fields = [T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
