@@ -3,10 +3,15 @@
 Greedy word pieces: the longest vocabulary entry that begins a word, then the longest continuation, and so on. The automaton is a
 trie of the vocabulary whose nodes know, for a byte that doesn't continue them, how many pieces are complete by then and which
 node stands for the bytes that remain. Each byte of a word is thus read once, and pieces are counted without being built.
+
+A vocabulary whose word beginnings carry a leading space is matched against the word with a space before it. Where no longer entry
+begins the word, the space alone is the first piece, so that a vocabulary with all single bytes leaves no word unknown.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +26,9 @@ MEMO = 300_000
 class PieceAutomaton:
     """Counts the greedy pieces of a word.
 
-    `first` are the entries that begin a word, `later` those that continue one. A word that can't be cut that way counts as one
-    unknown piece.
+    `first` are the entries that begin a word, `later` those that continue one. The empty entry in `first` stands for a piece
+    before the word (such as a space) after which all of it is cut by `later`; it is the shortest match, used if there is no other.
+    A word that can't be cut that way counts as one unknown piece.
     """
 
     def __init__(self, first: set[bytes], later: set[bytes]):
@@ -42,6 +48,8 @@ class PieceAutomaton:
                     entry[node] = True
         self.back: list[int] = [-1] * len(self.next)  # -1: the bytes so far can't be cut
         self.popped: list[int] = [0] * len(self.next)
+        if b"" in first:
+            self.back[0], self.popped[0] = 1, 1
         level = [0, 1]
         while level:  # by depth: a node's failure link leads to a shallower one
             below = []
@@ -90,11 +98,27 @@ class Counts(dict):
 
 
 def split_vocabulary(tokens: set[bytes]) -> tuple[set[bytes], set[bytes]]:
-    """(first, later) of a vocabulary whose word beginnings carry a leading space."""
-    return {t[1:] for t in tokens if t[:1] == b" " and len(t) > 1}, {t for t in tokens if t[:1] != b" " and t}
+    """(first, later) of a vocabulary whose word beginnings carry a leading space; the space alone gives the empty entry."""
+    return {t[1:] for t in tokens if t[:1] == b" "}, {t for t in tokens if t[:1] != b" " and t}
+
+
+_automata: dict[bytes, PieceAutomaton] = {}
+
+
+def automaton_of(broadcast) -> PieceAutomaton:
+    """The vocabulary's automaton, made once in each Python worker; told apart from others' by a digest of the whole vocabulary."""
+    first, later, digest = broadcast.value
+    if digest not in _automata:
+        _automata[digest] = PieceAutomaton(first, later)
+    return _automata[digest]
 
 
-_automata: dict[int, PieceAutomaton] = {}
+def vocabulary_digest(first: set[bytes], later: set[bytes]) -> bytes:
+    whole = hashlib.sha256(b"%d " % len(first))
+    for tokens in (first, later):
+        for token in sorted(tokens):
+            whole.update(b"%d " % len(token) + token)
+    return whole.digest()
 
 
 def token_counts(df: DataFrame, first: set[bytes], later: set[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,14 +127,11 @@ def token_counts(df: DataFrame, first: set[bytes], later: set[bytes], id_col: st
     Words are runs without ASCII white space. n_tokens counts an unknown word as one. Null and empty texts have 0 of each; a
     very long word is read like any other; repeated rows stay; other columns aren't read.
     """
-    vocabulary = df.sparkSession.sparkContext.broadcast((first, later))
+    vocabulary = df.sparkSession.sparkContext.broadcast((first, later, vocabulary_digest(first, later)))
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("n_words", "n_tokens", "n_unknown")])
 
     def counted(batches):
-        key = hash((len(vocabulary.value[0]), len(vocabulary.value[1]), min(vocabulary.value[1], default=b""), max(vocabulary.value[0], default=b"")))
-        if key not in _automata:
-            _automata[key] = PieceAutomaton(*vocabulary.value)
-        counts = Counts(_automata[key])
+        counts = Counts(automaton_of(vocabulary))
         for batch in batches:
             rows = []
             for text in whole_bytes(batch.column(1)):
