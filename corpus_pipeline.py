@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cinderbrook.llm.bpe import bpe_round_trip, read_ranks
-from cinderbrook.llm.common import shared_dir
+from cinderbrook.llm.common import Scratch, freed
 from cinderbrook.llm.exact_dedup import drop_exact_copies
 from cinderbrook.llm.mixing import mixed_documents
 from cinderbrook.llm.simhash import drop_near_copies
@@ -55,10 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written to the shared folder and read again."""
+    """All stages over documents; each stage's result is written to the shared folder and read again.
+
+    What a stage needed is freed when its result is written, and a result when the next stage's is.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    tables, earlier = Scratch(spark, "pipeline"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        with freed():
+            docs = tables.keep(stage(spark, docs, sf_dir), name)
+        if earlier:
+            tables.drop(earlier)
+        earlier = name
     return docs
