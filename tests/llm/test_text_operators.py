@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cinderbrook.llm import simhash as sh
 from cinderbrook.llm.bpe import BytePairCodec, bpe_decode, bpe_encode, bpe_round_trip, read_ranks
 from cinderbrook.llm.exact_dedup import drop_exact_copies, exact_dedup, grace
-from cinderbrook.llm.line_dedup import dedup_lines, without_dropped_lines
+from cinderbrook.llm.line_dedup import dedup_lines, line_decisions, without_dropped_lines
 from cinderbrook.llm.mixing import mix_sources, mixed_documents, source_targets
 from cinderbrook.llm.token_counts import PieceAutomaton, split_vocabulary, token_counts
 
@@ -82,6 +82,9 @@ def greedy(word, first, later, longest=None):
     while at < len(word):
         vocabulary = later if at else first
         end = next((e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in vocabulary), None)
+        if end is None and not at and vocabulary is first and b"" in first:
+            pieces = greedy(word, later, later, longest)
+            return pieces + 1 if pieces else 0
         if end is None:
             return 0
         at, pieces = end, pieces + 1
@@ -92,7 +95,7 @@ words = st.text("abc", max_size=12).map(str.encode)
 
 
 @settings(deadline=None, max_examples=200)
-@given(st.sets(words.filter(len), max_size=8), st.sets(words.filter(len), max_size=8), st.lists(words, max_size=20))
+@given(st.sets(words, max_size=8), st.sets(words.filter(len), max_size=8), st.lists(words.filter(len), max_size=20))
 def test_automaton_counts_greedy_pieces(first, later, tried):
     automaton = PieceAutomaton(first, later)
     assert [automaton.count(w) for w in tried] == [greedy(w, first, later) for w in tried]
@@ -107,6 +110,27 @@ def test_token_counts(spark, edge):
         expected.add((i, len(pieces), sum(max(p, 1) for p in pieces), pieces.count(0)))
     assert got == expected
     assert token_counts(empty(spark), first, later).count() == 0
+    others = spark.createDataFrame([(1, "中文没有空格 ภาษาไทย 😀"), (2, "\x00\x01 x")], "doc_id long, text string")
+    assert [r.n_unknown for r in token_counts(others, first, later).collect()] == [0, 0]
+    assert token_counts(others, first, later).first().n_tokens > 10
+
+
+def test_vocabularies_that_look_alike_in_one_session(spark):
+    """Equal sizes, first tokens, least and largest entries, but two ranks swapped, or one entry changed."""
+    df = spark.createDataFrame([(k, "some words and others, again and again") for k in range(4)], "doc_id long, text string").coalesce(1)
+    used = [t for t in TIKTOKEN.encode_ordinary("some words and others, again and again")]
+    tokens = list(RANKS)
+    swapped = dict(RANKS)
+    for a, b in zip(used[1::2], used[2::2]):
+        swapped[tokens[a]], swapped[tokens[b]] = swapped[tokens[b]], swapped[tokens[a]]
+    other = tiktoken.Encoding("other", pat_str=public_tokenizers.PATTERN, mergeable_ranks=swapped, special_tokens={})
+    for ranks, codec in ((RANKS, TIKTOKEN), (swapped, other), (RANKS, TIKTOKEN)):
+        assert {tuple(r.ids) for r in bpe_encode(df, ranks, public_tokenizers.PATTERN).collect()} == {tuple(codec.encode_ordinary("some words and others, again and again"))}
+    single = {bytes([b]) for b in range(256)}
+    for later in (single | {b"others"}, single | {b"other!"}, single | {b"others"}):
+        first = {b"", b"a", b"z"}
+        expected = sum(greedy(w, first, later) for w in b"some words and others, again and again".split())
+        assert {r.n_tokens for r in token_counts(df, first, later).collect()} == {expected}
 
 
 CODEC = BytePairCodec(RANKS, public_tokenizers.PATTERN)
@@ -226,41 +250,61 @@ def edits(a, b):
     return row[-1]
 
 
-def test_line_dedup_against_all_pairs(spark):
+@pytest.mark.parametrize("edits_bound, least_chars", [(1, 1), (1, 4), (0, 1), (2, 1)])
+def test_line_dedup_against_all_pairs(spark, edits_bound, least_chars):
     rng = random.Random(3)
-    base = ["".join(rng.choices("abé ", k=rng.randint(1, 30))) for _ in range(12)]
+    n_docs, longest = (60, 30) if edits_bound < 2 else (25, 9)
+    base = ["".join(rng.choices("abé😀 ", k=rng.randint(0, longest))) for _ in range(12)]
 
     def mutated(line):
         chars = list(line)
-        for _ in range(rng.choice([0, 1, 1, 2])):
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
             at, kind = rng.randint(0, len(chars)), rng.randint(0, 2)
             if kind == 0:
-                chars.insert(at, rng.choice("abé"))
+                chars.insert(at, rng.choice("abé😀"))
             elif chars and kind == 1:
                 chars.pop(min(at, len(chars) - 1))
             elif chars:
-                chars[min(at, len(chars) - 1)] = rng.choice("abé")
+                chars[min(at, len(chars) - 1)] = rng.choice("abé😀")
         return "".join(chars)
 
-    docs = [(i, None if i == 5 else "\n".join(mutated(rng.choice(base)) for _ in range(rng.randint(1, 6)))) for i in range(60)]
+    docs = [(i, None if i == 5 else "\n".join(mutated(rng.choice(base)) for _ in range(rng.randint(1, 6)))) for i in range(n_docs)]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, line string")
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.dropped) for r in dedup_lines(df, least_chars=4).collect()}
-    seen, expected = [], {}
+    options = {"edits": edits_bound, "least_chars": least_chars}
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.dropped) for r in dedup_lines(df, **options).collect()}
+    reasons = {(r.doc_id, r.at): (r.first_id, r.first_at) for r in line_decisions(df, **options).collect()}
+    seen, expected, because = [], {}, {}
     for i, text in docs:
         lines = [] if text is None else text.split("\n")
         dropped = []
         for k, line in enumerate(lines):
             if line.strip(" "):
-                if any(line == s or (min(len(line), len(s)) >= 4 and abs(len(line) - len(s)) < 2 and edits(line, s) <= 1) for s in seen):
+                near = lambda s: line == s or (min(len(line), len(s)) >= least_chars and edits(line, s) <= edits_bound)  # noqa: B023, E731
+                earlier = next((place for place, s in seen if near(s)), None)
+                if earlier:
                     dropped.append(k)
-                seen.append(line)
+                    because[i, k] = earlier
+                seen.append(((i, k), line))
         expected[i] = (len(lines), len(dropped), dropped)
-    assert got == expected
-    cleaned = {r.doc_id: r.text for r in without_dropped_lines(df, least_chars=4).collect()}
+    assert got == expected and reasons == because
+    cleaned = {r.doc_id: r.text for r in without_dropped_lines(df, **options).collect()}
     for i, text in docs:
         assert cleaned[i] == (None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in expected[i][2]))
 
 
+def test_near_equal_lines_of_every_length(spark):
+    """From one character to very long ones, each with an edit at its start, middle or end; and a common line in every text."""
+    rng = random.Random(8)
+    lines = ["".join(rng.choices("abcdefghij", k=n)) for n in (15, 16, 17, 200, 20_000, 20_001)]
+    docs = [(0, "\n".join(["fifteen chars a", "sixteen chars aa", "a", *lines]))]
+    for k, edit in enumerate((lambda s: "#" + s[1:], lambda s: s[: len(s) // 2] + s[len(s) // 2 + 1 :], lambda s: s + "#")):
+        docs.append((k + 1, "\n".join(["fifteen chars b", "sixteen chars ab", "b", *map(edit, lines), "quite another line " + "xyz"[k] * 40])))
+    docs += [(10 + k, "a line that is everywhere\nand its own number " + "0123456789"[k] * 9) for k in range(10)]
+    got = {r.doc_id: r.dropped for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0] == [] and all(got[k] == list(range(9)) for k in (1, 2, 3))
+    assert got[10] == [] and all(got[10 + k] == [0] for k in range(1, 10))
+
+
 def test_line_dedup_edge_cases(spark, edge):
     got = {r.doc_id: r.n_dropped for r in dedup_lines(edge).collect() if r.doc_id != 9}
     assert got[1] == 0 and got[3] == 0 and got[None] == 0
