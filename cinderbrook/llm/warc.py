@@ -31,6 +31,8 @@ RECORD_END = 4
 #: Written in each record; archives of the same rows are the same bytes.
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Pieces that are handed to Python at once; payloads are large rows.
+BATCH_ROWS = 500
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -113,12 +115,13 @@ def parse_head(piece: bytes) -> tuple[int, dict[str, str]] | None:
 
 
 def reading_session(spark: SparkSession) -> SparkSession:
-    """A session of its own for the scans of one reading, so that files are cut by their sizes only and alike in each of them.
+    """A session of its own for one reading, so that its scans cut files by their sizes only, and all alike.
 
     Without spark.sql.files.minPartitionNum, the size of splits would follow the executors that are alive.
     """
     own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
     own.conf.set("spark.sql.files.minPartitionNum", "1")
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return own
 
 
@@ -262,7 +265,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         yield from in_batches(numbered(batches), schema, lambda row: len(row[4] or b"") + 64)
 
     every = pieces(own, path).mapInArrow(read, "file string, block long, number long, at long, value binary")
-    every = checked_broadcast(bases.select("file", "block", "base", "bytes", "pieces")).join(every, ["file", "block"], "right")
+    every = every.join(checked_broadcast(bases.select("file", "block", "base", "bytes", "pieces")), ["file", "block"], "left")
     changed = F.col("base").isNull() | (F.col("value").isNull() & ((F.col("at") != F.col("bytes")) | (F.col("number") != F.col("pieces"))))
     fail = F.raise_error(F.concat(F.lit("the archive was cut or changed between two readings: "), F.col("file")))
     every = every.where(F.when(changed, fail.cast("boolean")).otherwise(F.col("value").isNotNull()))
