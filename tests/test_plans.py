@@ -226,9 +226,41 @@ def test_shortest_paths_by_brute_force(raw):
             for p, q in ((a, b), (b, a)):
                 if p in best and best[p] + c < best.get(q, math.inf):
                     best[q] = best[p] + c
-    got = network.shortest_paths(edges, 0)
-    assert {v: c for v, (c, _) in got.items()} == best
-    assert all(sum(edges[e][3] for e in path) == cost for cost, path in got.values())
+    costs, steps = network.shortest_paths(edges, 0)
+    assert costs == best and set(steps) == set(best)
+    for vertex, cost in costs.items():
+        path, at = network.path_to(vertex, steps), 0
+        assert sum(edges[e][3] for e in path) == cost
+        for e in path:
+            at = edges[e][2] if edges[e][1] == at else edges[e][1]
+        assert at == vertex
+
+
+def test_steps_of_a_long_chain_stay_small():
+    edges = [(k, k, k + 1, 1.0) for k in range(6_000)]
+    costs, steps = network.shortest_paths(edges, 0)
+    assert costs[6_000] == 6_000 and len(steps) == 6_001 and network.path_to(6_000, steps) == list(range(6_000))
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.tuples(st.floats(-3, 3), st.floats(-3, 3)), min_size=1, max_size=25), st.sampled_from([0.1, 0.5, 1.0]))
+def test_close_points_are_one_vertex(points, tolerance):
+    got = network.close_points(np.array(points), tolerance).tolist()
+    group = list(range(len(points)))
+    for _ in points:
+        for a, (x, y) in enumerate(points):
+            for b, (v, w) in enumerate(points):
+                if math.hypot(x - v, y - w) <= tolerance:
+                    group[a] = group[b] = min(group[a], group[b])
+    assert [got.index(g) for g in got] == [group.index(g) for g in group]
+
+
+def test_line_ends_two_millimetres_apart_are_one_vertex_across_cells(spark):
+    """The ends lie on either side of a cell's edge; a third line is a metre off."""
+    line = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    lines = [("s", 1, line((0, 0), (10.249, 0.749))), ("s", 2, line((10.251, 0.751), (20, 0))), ("s", 3, line((21, 0), (30, 0)))]
+    edges = {r.edge_id: (r.source, r.target) for r in network.build_topology(spark.createDataFrame(lines, "usgs_site string, edge_id long, line array<struct<x:double,y:double>>")).collect()}
+    assert edges[1][1] == edges[2][0] and edges[2][1] != edges[3][0] and len({v for e in edges.values() for v in e}) == 5
 
 
 def test_distance_status_and_touch(spark):
