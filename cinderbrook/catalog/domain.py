@@ -221,10 +221,10 @@ def dominant_class(t: Tables):
     return dominant_region(shares).select("usgs_site", "region_id")
 
 
-@query("""WITH e AS (SELECT user_id, ts::DATE AS date, round(avg(value), 6) AS value FROM events WHERE event_type = 'purchase' OR event_id % 3 = 0 GROUP BY 1, 2), s AS (SELECT user_id, min(date) AS lo, max(date) AS hi FROM e GROUP BY 1),
+@query("""WITH e AS (SELECT user_id, ts::DATE AS date, round(avg(value), 6) AS value FROM events GROUP BY 1, 2), s AS (SELECT user_id, min(date) AS lo, max(date) AS hi FROM e GROUP BY 1),
           c AS (SELECT user_id, unnest(generate_series(lo, hi, INTERVAL 1 DAY))::DATE AS date FROM s) SELECT c.user_id, c.date, e.value FROM c LEFT JOIN e USING (user_id, date)""")
 def calendar_complete(t: Tables):
-    rows = t.events.where("event_type = 'purchase' or event_id % 3 = 0").groupBy("user_id", F.col("ts").cast("date").alias("date")).agg(F.round(F.avg("value"), 6).alias("value"))
+    rows = t.events.groupBy("user_id", F.col("ts").cast("date").alias("date")).agg(F.round(F.avg("value"), 6).alias("value"))
     return D.complete_calendar(rows, "user_id", "date", "value")
 
 

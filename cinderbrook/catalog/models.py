@@ -200,16 +200,25 @@ def spheroidal_areas(t: Tables):
     return boxes(t).select("usgs_site", (S.spheroidal_area_udf("geometry") / 1e6).alias("area_km2"))
 
 
-@query()
+@query(f"""WITH {BOXES}, c AS (SELECT s.site, greatest(s.x1, a.x1) AS x1, least(s.x2, a.x2) AS x2, greatest(s.y1, a.y1) AS y1, least(s.y2, a.y2) AS y2 FROM b s JOIN b a
+              ON a.site LIKE '1%' AND a.x1 < s.x2 AND s.x1 < a.x2 AND a.y1 < s.y2 AND s.y1 < a.y2),
+          slabs AS (SELECT site, x AS lo, lead(x) OVER (PARTITION BY site ORDER BY x) AS hi FROM (SELECT site, x1 AS x FROM c UNION SELECT site, x2 FROM c)),
+          cover AS (SELECT site, (hi - lo) * greatest(0, c.y2 - greatest(c.y1, coalesce(max(c.y2) OVER (PARTITION BY site, lo ORDER BY c.y1, c.y2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), c.y1))) AS part
+                    FROM slabs JOIN c USING (site) WHERE c.x1 <= lo AND c.x2 >= hi)
+          SELECT site AS usgs_site, round(100 * sum(part) / any_value((x2 - x1) * (y2 - y1)), 1) AS ecoregion_pct FROM cover JOIN b USING (site) GROUP BY 1 HAVING ecoregion_pct >= 10""")
 def sites_in_study_area(t: Tables):
-    area = boxes(t).where("usgs_site like '1%'").select("geometry").limit(1)
+    """Share inside the union of all boxes whose id begins with 1; they overlap each other."""
+    area = boxes(t).where("usgs_site like '1%'").select("geometry")
     return S.share_inside(boxes(t).select("usgs_site", "geometry"), area, 2.0, least_percent=10.0).select("usgs_site", "ecoregion_pct")
 
 
-@query()
+@query(f"""WITH {BOXES}, o AS (SELECT a.site AS usgs_site, b.site::INTEGER AS region_id, {SHARED} AS overlap, 100 * {SHARED} / ((a.x2 - a.x1) * (a.y2 - a.y1)) AS percent FROM b a JOIN b ON b.site <> '68' WHERE {SHARED} > 0)
+          SELECT usgs_site, region_id, round(overlap, 6) AS overlap_area, round(percent, 4) AS percent_overlap FROM o
+          QUALIFY row_number() OVER (PARTITION BY usgs_site ORDER BY overlap DESC, region_id) = 1""")
 def region_shares(t: Tables):
     regions = boxes(t).select(F.col("usgs_site").cast("int").alias("region_id"), "geometry")
-    return S.dominant_region(S.region_shares(boxes(t).select("usgs_site", "geometry"), regions, 2.0))
+    shares = S.region_shares(boxes(t).select("usgs_site", "geometry"), regions, 2.0)
+    return S.dominant_region(shares).select("usgs_site", "region_id", F.round("overlap_area", 6).alias("overlap_area"), F.round("percent_overlap", 4).alias("percent_overlap"))
 
 
 def edges(t: Tables):
@@ -247,12 +256,22 @@ def distance_run_log(t: Tables):
     return N.run_log(distances(t))
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda c: c::DOUBLE) AS e FROM embeddings),
+          s AS (SELECT label, vec_id AS edge_id, 0 AS k, e[1] AS px, e[2] AS py, e[3] AS qx, e[4] AS qy FROM v UNION ALL SELECT label, vec_id, 1, e[3], e[4], e[5], e[6] FROM v),
+          l AS (SELECT *, sqrt((qx - px) ** 2 + (qy - py) ** 2) AS part, coalesce(sum(sqrt((qx - px) ** 2 + (qy - py) ** 2)) OVER (PARTITION BY edge_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                sum(sqrt((qx - px) ** 2 + (qy - py) ** 2)) OVER (PARTITION BY edge_id) AS whole FROM s),
+          p AS (SELECT label, vec_id AS point_id, e[7] AS x, e[8] AS y FROM v),
+          m AS (SELECT p.label, point_id, x, y, l.* EXCLUDE (label), CASE WHEN part > 0 THEN greatest(0, least(1, ((x - px) * (qx - px) + (y - py) * (qy - py)) / (part * part))) ELSE 0 END AS w FROM p JOIN l ON l.label = p.label),
+          d AS (SELECT *, sqrt((px + w * (qx - px) - x) ** 2 + (py + w * (qy - py) - y) ** 2) AS far FROM m)
+          SELECT label::VARCHAR AS usgs_site, point_id, edge_id, round((before + w * part) / whole, 6) AS fraction, round(far, 6) AS distance_m,
+                 least((before + w * part) / whole, 1 - (before + w * part) / whole) * whole < 0.01 AS is_exact_vertex
+          FROM d QUALIFY row_number() OVER (PARTITION BY label, point_id ORDER BY far, edge_id, k) = 1""")
 def snapped_points(t: Tables):
     v = lambda k: F.col("embedding")[k].cast("double")
     lines = t.embeddings.select(F.col("label").cast("string").alias("usgs_site"), F.col("vec_id").alias("edge_id"), F.array(G.point(v(0), v(1)), G.point(v(2), v(3)), G.point(v(4), v(5))).alias("line"))
     points = t.embeddings.select(F.col("label").cast("string").alias("usgs_site"), F.col("vec_id").alias("point_id"), v(6).alias("x"), v(7).alias("y"))
-    return N.snap_points(points, lines, exact=0.01)
+    found = N.snap_points(points, lines, exact=0.01)
+    return found.select("usgs_site", "point_id", "edge_id", F.round("fraction", 6).alias("fraction"), F.round("distance_m", 6).alias("distance_m"), "is_exact_vertex")
 
 
 @query(sql("SELECT vertex, count(*) AS degree FROM (SELECT usgs_site AS vertex FROM fires UNION ALL SELECT event_id FROM fires) GROUP BY 1", "fires"))

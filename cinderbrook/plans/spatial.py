@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geometry import bounding_box, boxes_meet, first_shared_cell, grid_cells, is_upright, overlap_area, spheroidal_area
+from ..functions.geometry import bounding_box, boxes_meet, covered_area, first_shared_cell, grid_cells, is_upright, overlap_area, spheroidal_area
 from ..operators.joins import not_in
 from ..operators.windows import first_per_key
 
@@ -26,6 +26,11 @@ def overlap_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([overlap_area(as_rings(x), as_rings(y)) for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def covered_udf(site: pd.Series, polygons: pd.Series) -> pd.Series:
+    return pd.Series([covered_area(as_rings(x), [as_rings(p) for p in y]) for x, y in zip(site, polygons)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def spheroidal_area_udf(a: pd.Series) -> pd.Series:
     return pd.Series([spheroidal_area(as_rings(x)) for x in a], dtype="float64")
@@ -57,11 +62,12 @@ def overlay(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str,
 
 
 def share_inside(sites: DataFrame, area: DataFrame, cell: float, least_percent: float = 75.0) -> DataFrame:
-    """Sites of which at least so many percent (to one place) lie inside the polygons of `area`, which don't overlap each other."""
+    """Sites of which at least so many percent (to one place) lie inside the union of the polygons of `area`, which may overlap."""
     from ..functions.geometry import polygon_area
 
     parts = overlay(sites.select("usgs_site", "geometry"), area.select(F.col("geometry").alias("area_geometry")), "geometry", "area_geometry", cell)
-    inside = parts.groupBy("usgs_site").agg(F.sum("overlap_area").alias("inside"))
+    inside = parts.groupBy("usgs_site").agg(F.first("geometry").alias("site_geometry"), F.collect_list("area_geometry").alias("parts"))
+    inside = inside.select("usgs_site", covered_udf("site_geometry", "parts").alias("inside"))
     found = sites.join(inside, "usgs_site").withColumn("ecoregion_pct", F.round(F.lit(100.0) * F.try_divide("inside", polygon_area(F.col("geometry"))), 1))
     return found.drop("inside").where(F.col("ecoregion_pct") >= least_percent)
 

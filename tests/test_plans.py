@@ -339,6 +339,56 @@ def test_seasonal_signal_recovers_a_sine():
     assert math.isnan(seasonal.signal_metrics(days[:3], np.array([np.nan] * 3))["snr"])
 
 
+def test_series_of_many_sites_at_once_are_those_of_each(spark):
+    """In batches that cut through sites; with gaps, leap days, missing and dry days, one-day sites and a null site."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    frames = []
+    for k, n in enumerate((1, 900, 40, 7, 400, 2)):
+        days = pd.Series(pd.to_datetime("2003-11-20") + pd.to_timedelta(np.sort(rng.choice(1_500, n, replace=False)), "D"))
+        flow = np.where(rng.random(n) < 0.2, np.nan, rng.choice([0.0, 0.05, 1.0, 30.0], n) * rng.random(n))
+        frames.append((f"s{k}" if k != 3 else None, days, flow))
+    rows = [(s, d.date(), None if math.isnan(f) else float(f)) for s, days, flow in frames for d, f in zip(days, flow)]
+    df = spark.createDataFrame([*rows, ("s1", None, 1.0)], "site string, day date, flow double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {r.site: r.asDict() for r in seasonal.flow_metrics(df, "site", "day", "flow").collect()}
+        signal = {(r.site, r.day): r.residual for r in seasonal.daily_anomalies(df, "site", "day", "flow").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == {s for s, *_ in frames} and len(signal) == len(rows)
+    for s, days, flow in frames:
+        alone = seasonal.signal_metrics(days, flow)
+        assert all(got[s][name] == pytest.approx(value, nan_ok=True) for name, value in alone.items())
+
+
+square = st.tuples(st.integers(0, 6), st.integers(0, 6), st.integers(1, 4), st.integers(1, 4), st.booleans())
+
+
+@settings(deadline=None, max_examples=60)
+@given(square, st.lists(square, max_size=6))
+def test_covered_area_counts_overlaps_once(site, others):
+    """Boxes and diamonds on a grid, against small squares; a diamond's edges cross the boxes'."""
+
+    def corners(x, y, w, h, tilted):
+        return np.array([(x, y + h / 2), (x + w / 2, y), (x + w, y + h / 2), (x + w / 2, y + h)] if tilted else [(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float)
+
+    steps = (np.arange(0, 11, 0.05) + 0.025)
+    gx, gy = np.meshgrid(steps, steps)
+
+    def inside(x, y, w, h, tilted):
+        return np.abs(gx - x - w / 2) / (w / 2) + np.abs(gy - y - h / 2) / (h / 2) < 1 if tilted else (gx > x) & (gx < x + w) & (gy > y) & (gy < y + h)
+
+    union = np.zeros(gx.shape, bool)
+    for other in others:
+        union |= inside(*other)
+    got = G.covered_area([corners(*site)], [[corners(*other)] for other in others])
+    assert got == pytest.approx((union & inside(*site)).sum() * 0.0025, abs=0.25)
+    if not site[4] and not any(o[4] for o in others):
+        assert got == pytest.approx((union & inside(*site)).sum() * 0.0025, abs=1e-9)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("site,v,d\n01,-999,2000-01-01\n02,1.5,.\n03,x,2000-02-30\n")
     got = readers.read_csv(spark, str(tmp_path / "a.csv"), "site string, v double, d date", na=(".", "-999", "NA"))
