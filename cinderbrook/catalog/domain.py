@@ -308,33 +308,50 @@ def burned_events(t: Tables):
     return E.event_areas(t.events_on_sites().withColumnRenamed("area", "fire_catch_area"), t.sites()).select("usgs_site", "event_id", "ig_date", "per_cent_burned")
 
 
-def gate_sql(bands: str, least: tuple[int, int], sides: tuple[str, ...], years: int, choose_first: bool = False) -> str:
+def gate_sql(bands: str, least: tuple[int, int], sides: tuple[str, ...], years: int, choose_first: bool = False, record: str = "SELECT * FROM flow") -> str:
+    """record: the flows whose quantiles make the bands."""
     names = bands.split("|")
     gates = " AND ".join(f"count(*) FILTER (side = '{s}' AND band = '{b}') > 0" for s in sides for b in names)
     chosen = "largest AS (SELECT * FROM burned QUALIFY row_number() OVER (PARTITION BY usgs_site ORDER BY per_cent_burned DESC, event_id) = 1)" if choose_first else "largest AS (SELECT * FROM burned)"
-    return sql("", "flow", "obs", "fires", "sites") + f""", {BANDED}, s AS (SELECT o.usgs_site, o.date, band FROM obs o JOIN bands USING (usgs_site, date)),
-    burned AS (SELECT f.usgs_site, f.event_id, f.ig_date, round(100e0 * area / catch_area, 2) AS per_cent_burned FROM fires f JOIN sites USING (usgs_site)), {chosen},
-    k AS (SELECT f.*, s.band, CASE WHEN s.date >= f.ig_date - INTERVAL {years} YEAR AND s.date < f.ig_date THEN 'pre' WHEN s.date > f.ig_date AND s.date <= f.ig_date + INTERVAL {years} YEAR THEN 'post' END AS side FROM largest f JOIN s USING (usgs_site)),
-    g AS (SELECT usgs_site, event_id, per_cent_burned, count(*) FILTER (side = 'pre') AS n_pre, count(*) FILTER (side = 'post') AS n_post FROM k GROUP BY 1, 2, 3 HAVING count(*) FILTER (side = 'pre') >= {least[0]} AND count(*) FILTER (side = 'post') >= {least[1]} AND {gates})
+    return sql("", "flow", "obs", "fires", "sites") + f""", record AS ({record}), {BANDED.replace("FROM flow", "FROM record")}, s AS (SELECT o.usgs_site, o.date, band FROM obs o JOIN bands USING (usgs_site, date)),
+    {BURNED}, {chosen},
+    k AS (SELECT f.*, s.band, {SIDE.format(years=years)} AS side FROM largest f JOIN s USING (usgs_site)),
+    {GATED.format(least=least, gates=gates)}"""
+
+
+BURNED = "burned AS (SELECT f.usgs_site, f.event_id, f.ig_date, round(100e0 * area / catch_area, 2) AS per_cent_burned FROM fires f JOIN sites USING (usgs_site))"
+SIDE = "CASE WHEN s.date >= f.ig_date - INTERVAL {years} YEAR AND s.date < f.ig_date THEN 'pre' WHEN s.date > f.ig_date AND s.date <= f.ig_date + INTERVAL {years} YEAR THEN 'post' END"
+GATED = """g AS (SELECT usgs_site, event_id, per_cent_burned, count(*) FILTER (side = 'pre') AS n_pre, count(*) FILTER (side = 'post') AS n_post FROM k GROUP BY 1, 2, 3 HAVING count(*) FILTER (side = 'pre') >= {least[0]} AND count(*) FILTER (side = 'post') >= {least[1]} AND {gates})
     SELECT usgs_site, event_id, n_pre, n_post FROM g QUALIFY row_number() OVER (PARTITION BY usgs_site ORDER BY per_cent_burned DESC, event_id) = 1"""
+SCREENED = ["usgs_site", "event_id", "n_pre", "n_post"]
 
 
 @query(gate_sql("2.5-25|25-50", (2, 2), ("pre", "post"), 5, True))
 def screening_largest_first(t: Tables):
-    counts = R.band_counts(R.samples_in_bands(t.observations(), t.flow()), R.best_event(burned_events(t)), years=5)
-    return R.best_event(R.gate_events(counts, least_pre=2, least_post=2, bands=("2.5-25", "25-50"), sides=("pre", "post"))).select("usgs_site", "event_id", "n_pre", "n_post")
+    return R.screen_largest_first(t.observations(), t.flow(), burned_events(t), years=5, least=(2, 2), bands=R.INNER[:2]).select(*SCREENED)
 
 
-@query(gate_sql("2.5-25|25-50|50-75", (3, 3), ("pre", "post"), 5))
+@query(gate_sql("2.5-25|25-50|50-75", (3, 3), ("pre", "post"), 5, record="SELECT * FROM flow WHERE \"Flow_cd\" <> 'P'"))
 def screening_all_events(t: Tables):
-    counts = R.band_counts(R.samples_in_bands(t.observations(), t.flow()), burned_events(t), years=5)
-    return R.best_event(R.gate_events(counts, least_pre=3, least_post=3, bands=R.INNER[:3], sides=("pre", "post"))).select("usgs_site", "event_id", "n_pre", "n_post")
+    flow = t.flow().withColumn("Flow_cd", F.when(F.col("Flow_cd") != "P", "A").otherwise("P"))
+    return R.screen_all_events(t.observations(), flow, burned_events(t), least=(3, 3)).select(*SCREENED)
+
+
+@query(gate_sql("2.5-25|25-50|50-75|75-97.5", (2, 2), ("pre", "post"), 4, record="SELECT f.* FROM flow f SEMI JOIN obs USING (usgs_site, date)"))
+def screening_sampled_days(t: Tables):
+    return R.screen_sampled_days(t.observations(), t.flow(), burned_events(t), least=(2, 2)).select(*SCREENED)
 
 
-@query(gate_sql("2.5-25|25-50|50-75|75-97.5", (4, 1), ("pre",), 4))
+@query(sql("", "flow", "obs", "fires", "sites") + f""", {BURNED},
+    q AS (SELECT f.usgs_site, f.event_id, quantile_cont(flow, 0.025) AS a, quantile_cont(flow, 0.25) AS b, quantile_cont(flow, 0.5) AS c, quantile_cont(flow, 0.75) AS d, quantile_cont(flow, 0.975) AS e
+          FROM burned f JOIN flow s USING (usgs_site) WHERE {SIDE.format(years=4)} = 'pre' GROUP BY 1, 2),
+    s AS (SELECT o.usgs_site, o.date, flow FROM obs o JOIN flow USING (usgs_site, date)),
+    k AS (SELECT f.*, CASE WHEN flow <= a THEN '0-2.5' WHEN flow <= b THEN '2.5-25' WHEN flow <= c THEN '25-50' WHEN flow <= d THEN '50-75' WHEN flow <= e THEN '75-97.5' ELSE '97.5-100' END AS band, {SIDE.format(years=4)} AS side
+          FROM burned f JOIN s USING (usgs_site) JOIN q USING (usgs_site, event_id)),
+    {GATED.format(least=(4, 1), gates=" AND ".join(f"count(*) FILTER (side = 'pre' AND band = '{b}') > 0" for b in ("2.5-25", "25-50", "50-75", "75-97.5")))}""")
 def screening_before_gate(t: Tables):
-    counts = R.band_counts(R.samples_in_bands(t.observations(), t.flow()), burned_events(t), years=4)
-    return R.best_event(R.gate_events(counts, least_pre=4, least_post=1, bands=R.INNER, sides=("pre",))).select("usgs_site", "event_id", "n_pre", "n_post")
+    samples = t.observations().join(t.flow().select("usgs_site", "date", "flow"), ["usgs_site", "date"])
+    return R.screen_before_only(samples, t.flow(), burned_events(t), least=(4, 1)).select(*SCREENED)
 
 
 @query(sql("", "flow", "obs") + f""", {BANDED}, s AS (SELECT o.usgs_site, o.date, band FROM obs o JOIN bands USING (usgs_site, date))

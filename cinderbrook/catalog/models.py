@@ -221,6 +221,55 @@ def region_shares(t: Tables):
     return S.dominant_region(shares).select("usgs_site", "region_id", F.round("overlap_area", 6).alias("overlap_area"), F.round("percent_overlap", 4).alias("percent_overlap"))
 
 
+def dated_boxes(t: Tables):
+    day = F.date_add(F.lit("2000-01-01").cast("date"), F.col("usgs_site").cast("int"))
+    return boxes(t).select(F.col("usgs_site").alias("event_id"), day.alias("ig_date"), "geometry", (F.col("usgs_site").cast("int") + 1).cast("double").alias("acres"))
+
+
+@query(f"WITH {BOXES} SELECT a.site AS usgs_site, b.site AS event_id, (DATE '2000-01-01' + b.site::INTEGER)::DATE AS ig_date, round({SHARED}, 6) AS overlap_area FROM b a JOIN b ON {SHARED} > 0")
+def event_overlay(t: Tables):
+    return S.events_on_sites(boxes(t).select("usgs_site", "geometry"), dated_boxes(t), 2.0).withColumn("overlap_area", F.round("overlap_area", 6))
+
+
+@query(f"WITH {BOXES} SELECT a.site AS usgs_site, b.site AS event_id, CASE WHEN b.site LIKE '1%' THEN -1 ELSE round({SHARED}, 6) END AS overlap_area FROM b a JOIN b ON {SHARED} > 0")
+def event_overlay_added(t: Tables):
+    """What is there already stays as it is: overlaps with events whose id begins with 1, marked by -1."""
+    sites, events = boxes(t).select("usgs_site", "geometry"), dated_boxes(t)
+    present = S.events_on_sites(sites, events.where("event_id like '1%'"), 2.0).withColumn("overlap_area", F.lit(-1.0))
+    return S.add_events_on_sites(present, sites, events, 2.0).select("usgs_site", "event_id", F.round("overlap_area", 6).alias("overlap_area"))
+
+
+@query(f"WITH {BOXES} SELECT a.site AS usgs_site, count(*) AS n_events, round(sum((b.site::INTEGER + 1) * 0.0040468564e0), 6) AS total_km2, round(sum({SHARED}), 4) AS within_m2 FROM b a JOIN b ON {SHARED} > 0 GROUP BY 1")
+def burned_watersheds(t: Tables):
+    found = S.burned_watersheds(boxes(t).select("usgs_site", "geometry"), dated_boxes(t), 2.0)
+    return found.select("usgs_site", "n_events", F.round("total_km2", 6).alias("total_km2"), F.round(F.col("within_km2") * 1e6, 4).alias("within_m2"))
+
+
+@query(f"""WITH {BOXES}, v AS (SELECT vec_id, embedding[5]::DOUBLE * 10 AS px, embedding[6]::DOUBLE * 10 AS py, (embedding[7]::DOUBLE - embedding[5]::DOUBLE) * 10 AS dx, (embedding[8]::DOUBLE - embedding[6]::DOUBLE) * 10 AS dy FROM embeddings),
+          c AS (SELECT site, vec_id, greatest(0, least((x1 - px) / dx, (x2 - px) / dx), least((y1 - py) / dy, (y2 - py) / dy)) AS a, least(1, greatest((x1 - px) / dx, (x2 - px) / dx), greatest((y1 - py) / dy, (y2 - py) / dy)) AS z FROM v, b)
+          SELECT site AS usgs_site, vec_id AS line_id, round(a, 6) AS start_fraction, round(z, 6) AS end_fraction FROM c WHERE z - a > 1e-9""")
+def clipped_lines(t: Tables):
+    v = lambda k: F.col("embedding")[k].cast("double") * 10
+    lines = t.embeddings.select(F.col("vec_id").alias("line_id"), F.array(G.point(v(4), v(5)), G.point(v(6), v(7))).alias("line"))
+    found = S.clip_lines(lines, boxes(t).select("usgs_site", "geometry"), 2.0).where("end_fraction - start_fraction > 1e-9")
+    return found.select("usgs_site", "line_id", F.round("start_fraction", 6).alias("start_fraction"), F.round("end_fraction", 6).alias("end_fraction"))
+
+
+@query("""WITH m AS (SELECT o_custkey, quantile_cont(o_totalprice, 0.5) AS median FROM orders GROUP BY 1) SELECT o_custkey, round(median, 4) AS median FROM m WHERE median <= 120000 OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)""")
+def zones_by_median(t: Tables):
+    forced = t.customer.where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    return S.zones_by_median(t.orders.withColumnRenamed("o_totalprice", "value"), ["o_custkey"], 120_000, forced).withColumn("median", F.round("median", 4))
+
+
+@query("""WITH g AS (SELECT vec_id AS y, generate_subscripts(embedding, 1) AS x, unnest(embedding)::DOUBLE * 100 AS z FROM embeddings),
+          n AS (SELECT g.x, g.y, arg_max(g.z, 1) AS z, count(m.z) AS n, sum((m.x - g.x) * (2 - abs(m.y - g.y)) * m.z) / 8 AS dx, sum((m.y - g.y) * (2 - abs(m.x - g.x)) * m.z) / 8 AS dy FROM g JOIN g m ON m.x BETWEEN g.x - 1 AND g.x + 1 AND m.y BETWEEN g.y - 1 AND g.y + 1 GROUP BY 1, 2)
+          SELECT x::INTEGER AS x, y, CASE WHEN n = 9 THEN round(degrees(atan(sqrt(dx * dx + dy * dy))), 6) END AS slope FROM n""")
+def terrain_slopes(t: Tables):
+    grid = t.embeddings.select(F.col("vec_id").alias("y"), F.posexplode(F.col("embedding").cast("array<double>")).alias("p", "z"))
+    slopes = S.terrain_slope(grid.select("y", (F.col("p") + 1).alias("x"), (F.col("z") * 100).alias("z")), [], "x", "y", "z")
+    return slopes.select("x", "y", F.round("slope", 6).alias("slope"))
+
+
 def edges(t: Tables):
     """Suppliers and parts as vertices of one network per return flag, an edge for each line.
 
@@ -251,6 +300,23 @@ def site_event_distances(t: Tables):
     return distances(t).select("usgs_site", "event_id", "distance_m", "status", F.size("path_edge_ids").alias("n_edges"))
 
 
+@query()
+def outline_distances(t: Tables):
+    """The chain over vectors as stream lines and boxes as events, by label: topology, crossings, split edges, event vertices, paths."""
+    v = lambda k: F.col("embedding")[k].cast("double") * 10
+    site = F.col("label").cast("string").alias("usgs_site")
+    lines = t.embeddings.select(site, F.col("vec_id").alias("edge_id"), F.array(G.point(v(0), v(1)), G.point(v(2), v(3)), G.point(v(4), v(5))).alias("line"))
+    events = boxes(t).select(F.col("usgs_site").alias("event_id"), "geometry").join(t.embeddings.select(site, F.col("vec_id").cast("string").alias("event_id")), "event_id")
+    network = N.build_topology(lines, 1e-6)
+    crossings = N.event_crossings(network, events)
+    cuts = N.split_fractions(crossings, crossings.select("usgs_site", "edge_id", "fraction", F.lit(True).alias("is_exact_vertex")), network)
+    parts = N.split_edges(network, cuts).withColumn("edge_id", F.col("original_edge_id") * 1_000_000 + F.col("segment_index"))
+    split = N.build_topology(parts, 1e-6).withColumn("cost", F.col("length_m"))
+    starts = split.groupBy("usgs_site").agg(F.min("source").alias("vertex_id"))
+    found = N.site_distances(split, starts, N.event_vertices(split, crossings), events)
+    return found.select("usgs_site", "event_id", F.round("distance_m", 6).alias("distance_m"), "status", F.size("path_edge_ids").alias("n_edges"))
+
+
 @query()
 def distance_run_log(t: Tables):
     return N.run_log(distances(t))

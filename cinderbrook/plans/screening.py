@@ -14,6 +14,8 @@ from ..operators.windows import first_per_key, largest_with_ties
 #: Quantile points of the six flow bands and the bands' labels.
 POINTS = {"q025": 0.025, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q975": 0.975}
 BANDS = ("0-2.5", "2.5-25", "25-50", "50-75", "75-97.5", "97.5-100")
+#: All but the outermost bands.
+INNER = BANDS[1:5]
 #: Flags of accepted records.
 ACCEPTED = ("A", "A e")
 
@@ -55,31 +57,29 @@ def best_event(gated: DataFrame, site: str = "usgs_site", event: str = "event_id
     return first_per_key(largest_with_ties(gated, [site], "per_cent_burned"), [site], [event])
 
 
-INNER = BANDS[1:5]
-
 
-def screen_largest_first(samples: DataFrame, flow: DataFrame, events: DataFrame, *, years: int = 4) -> DataFrame:
-    """Each site's largest event, if 10 samples lie on both sides and the inner bands of its record occur on both."""
+def screen_largest_first(samples: DataFrame, flow: DataFrame, events: DataFrame, *, years: int = 4, least: tuple[int, int] = (10, 10), bands: Sequence[str] = INNER) -> DataFrame:
+    """Each site's largest event, if enough samples (`least`: before, behind) lie on both sides and all `bands` of its record occur on both."""
     largest = best_event(events)
-    return gate_events(band_counts(samples_in_bands(samples, flow), largest, years=years), least_pre=10, least_post=10, bands=INNER, sides=("pre", "post"))
+    return gate_events(band_counts(samples_in_bands(samples, flow), largest, years=years), least_pre=least[0], least_post=least[1], bands=bands, sides=("pre", "post"))
 
 
-def screen_all_events(samples: DataFrame, flow: DataFrame, events: DataFrame, *, years: int = 5) -> DataFrame:
+def screen_all_events(samples: DataFrame, flow: DataFrame, events: DataFrame, *, years: int = 5, least: tuple[int, int] = (10, 10), bands: Sequence[str] = INNER[:3]) -> DataFrame:
     """Of all events that pass, each site's largest; bands are those of its accepted record."""
     counts = band_counts(samples_in_bands(samples, accepted_only(flow)), events, years=years)
-    return best_event(gate_events(counts, least_pre=10, least_post=10, bands=INNER[:3], sides=("pre", "post")))
+    return best_event(gate_events(counts, least_pre=least[0], least_post=least[1], bands=bands, sides=("pre", "post")))
 
 
-def screen_sampled_days(samples: DataFrame, flow: DataFrame, events: DataFrame, *, years: int = 4) -> DataFrame:
+def screen_sampled_days(samples: DataFrame, flow: DataFrame, events: DataFrame, *, years: int = 4, least: tuple[int, int] = (10, 10), bands: Sequence[str] = INNER) -> DataFrame:
     """As screen_all_events, with the bands of the flows on sampled days only."""
     days = samples.select("usgs_site", "date").distinct()
     sampled = flow.join(days, ["usgs_site", "date"], "left_semi")
     counts = band_counts(samples_in_bands(samples, sampled), events, years=years)
-    return best_event(gate_events(counts, least_pre=10, least_post=10, bands=INNER, sides=("pre", "post")))
+    return best_event(gate_events(counts, least_pre=least[0], least_post=least[1], bands=bands, sides=("pre", "post")))
 
 
-def screen_before_only(samples: DataFrame, flow: DataFrame, events: DataFrame, *, years: int = 4) -> DataFrame:
-    """Bands before the event only, by each event's own record before it; 10 samples before, one behind."""
+def screen_before_only(samples: DataFrame, flow: DataFrame, events: DataFrame, *, years: int = 4, least: tuple[int, int] = (10, 1), bands: Sequence[str] = INNER) -> DataFrame:
+    """Bands before the event only, by each event's own record in the years before it. Samples carry their flow."""
     windows = flow.dropna(subset=["flow"]).join(events.select("usgs_site", "event_id", "ig_date"), "usgs_site").where(side("date", "ig_date", years) == "pre")
     cuts = linear_quantiles(windows, ["usgs_site", "event_id"], "flow", POINTS)
     joined = events.join(samples.select("usgs_site", "date", "flow"), "usgs_site").join(cuts, ["usgs_site", "event_id"])
@@ -87,7 +87,7 @@ def screen_before_only(samples: DataFrame, flow: DataFrame, events: DataFrame, *
     by_band = [F.count_if((F.col("side") == s) & (F.col("band") == b)).alias(f"{s}_{b}") for s in ("pre", "post") for b in BANDS]
     totals = [F.count_if(F.col("side") == s).alias(f"n_{s}") for s in ("pre", "post")]
     counts = joined.groupBy("usgs_site", "event_id", "ig_date", "per_cent_burned").agg(*totals, *by_band)
-    return best_event(gate_events(counts, least_pre=10, least_post=1, bands=INNER, sides=("pre",)))
+    return best_event(gate_events(counts, least_pre=least[0], least_post=least[1], bands=bands, sides=("pre",)))
 
 
 def samples_in_bands(samples: DataFrame, flow: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,6 +122,31 @@ def zonal_mode(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("mode"))
 
 
+def zones_by_median(pixels: DataFrame, keys: list[str], most: float, forced: DataFrame | None = None) -> DataFrame:
+    """(keys, median) of the zones whose median is at most `most`, and of the forced zones (keys) whatever theirs is."""
+    medians = pixels.dropna(subset=["value"]).groupBy(*keys).agg(F.median("value").alias("median"))
+    wanted = F.col("median") <= most
+    if forced is None:
+        return medians.where(wanted)
+    marked = medians.join(forced.select(*keys, F.lit(True).alias("__forced")).distinct(), keys, "left")
+    return marked.where(wanted | F.col("__forced")).drop("__forced")
+
+
+def terrain_slope(pixels: DataFrame, grid: Sequence[str], x: str, y: str, value: str, *, size: float = 1.0) -> DataFrame:
+    """Slope in degrees of each pixel of elevation grids, by the weighted differences across its eight neighbours.
+
+    x and y are column and row numbers, `size` a pixel's side; a pixel without all eight neighbours has a null slope.
+    """
+    row = Window.partitionBy(*grid, y).orderBy(x)
+    column = Window.partitionBy(*grid, x).orderBy(y)
+    beside = lambda value, over, by: F.when((F.lag(by).over(over) == F.col(by) - 1) & (F.lead(by).over(over) == F.col(by) + 1), value)
+    left, right = F.lag(value).over(row), F.lead(value).over(row)
+    across = pixels.select(*grid, x, y, value, beside(right - left, row, x).alias("__dx"), beside(left + 2 * F.col(value) + right, row, x).alias("__sum"))
+    dx = beside(F.lag("__dx").over(column) + 2 * F.col("__dx") + F.lead("__dx").over(column), column, y) / (8 * size)
+    dy = beside(F.lead("__sum").over(column) - F.lag("__sum").over(column), column, y) / (8 * size)
+    return across.select(*grid, x, y, F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))).alias("slope"))
+
+
 def class_shares(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Covered area of each class and its share of the zone's."""
     from ..operators.aggregates import share_of_group

@@ -291,6 +291,52 @@ def test_topology_snaps_crossings_and_splits(spark):
     assert network.split_edges(edges, parts).where("original_edge_id = 1").select(F.sum(G.line_length(F.col("line")))).first()[0] == pytest.approx(10.0)
 
 
+def test_overlaps_count_at_their_middle_and_events_get_vertices(spark):
+    line = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    points = "array<struct<x:double,y:double>>"
+    assert G.shared_stretches(np.array([(0.0, 0.0), (4.0, 0.0), (10.0, 0.0)]), np.array([(2.0, 0.0), (6.0, 0.0), (6.0, 3.0), (2.0, 3.0)])) == [pytest.approx((0.2, 0.6))]
+    lines = spark.createDataFrame([("s", 1, line((0, 0), (10, 0))), ("s", 2, line((10, 0), (20, 0)))], f"usgs_site string, edge_id long, line {points}")
+    fires = spark.createDataFrame([("s", "along", [line((2, 0), (6, 0), (6, 3), (2, 3))]), ("s", "across", [line((12, -1), (14, -1), (14, 1), (12, 1))]), ("s", "around", [line((-9, -9), (40, -9), (40, 9), (-9, 9))]), ("s", "off", [line((0, 5), (1, 5), (1, 6), (0, 6))])], f"usgs_site string, event_id string, geometry array<{points}>")
+    edges = network.build_topology(lines)
+    crossings = network.event_crossings(edges, fires)
+    assert values(crossings, "event_id", "edge_id", "fraction", "on_boundary") == sorted([("across", 2, pytest.approx(0.2), True), ("across", 2, pytest.approx(0.4), True), ("along", 1, pytest.approx(0.4), True), ("around", 1, 0.5, False), ("around", 2, 0.5, False)], key=str)
+    snaps = crossings.select("usgs_site", "edge_id", "fraction", F.lit(True).alias("is_exact_vertex"))
+    parts = network.split_edges(edges, network.split_fractions(crossings, snaps, edges)).withColumn("edge_id", F.col("original_edge_id") * 100 + F.col("segment_index"))
+    split = network.build_topology(parts).withColumn("cost", F.col("length_m"))
+    vertices = network.event_vertices(split, crossings)
+    assert {r.event_id: r.n for r in vertices.groupBy("event_id").agg(F.count("vertex_id").alias("n")).collect()} == {"across": 2, "along": 1, "around": 2}
+    start = split.where("start_fraction = 0 and original_edge_id = 1").select("usgs_site", F.col("source").alias("vertex_id"))
+    got = {r.event_id: (r.distance_m, r.status) for r in network.site_distances(split, start, vertices, fires).collect()}
+    assert got == {"along": (pytest.approx(4.0), "ok"), "across": (pytest.approx(12.0), "ok"), "around": (pytest.approx(5.0), "ok"), "off": (None, "no_intersection")}
+
+
+def test_binary_polygons_and_workbooks(spark, tmp_path):
+    import struct
+    import zipfile
+
+    from cinderbrook.sources import readers
+
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 2.0), (0.0, 0.0)]
+    hole = [(0.2, 0.1), (0.3, 0.1), (0.3, 0.2), (0.2, 0.1)]
+    polygon = lambda o, rings: struct.pack(o + "BII", o == "<", 3, len(rings)) + b"".join(struct.pack(f"{o}I{2 * len(r)}d", len(r), *(c for p in r for c in p)) for r in rings)
+    several = struct.pack(">BII", 0, 6, 2) + polygon("<", [ring, hole]) + polygon(">", [ring])
+    high = struct.pack("<BIII", 1, 0xA0000003, 4326, 1) + struct.pack("<I12d", 4, *(c for x, y in ring for c in (x, y, 9.0)))
+    df = spark.createDataFrame([(1, polygon("<", [ring])), (2, several), (3, None), (4, high)], "k int, geom binary")
+    got = sorted((r.k, [[(p.x, p.y) for p in one] for one in r.rings]) for r in readers.wkb_polygons(df, "geom").collect())
+    assert got == [(1, [ring]), (2, [ring]), (2, [ring, hole]), (4, [ring])]
+    with pytest.raises(ValueError):
+        readers.parse_wkb(struct.pack("<BIdd", 1, 1, 0.0, 0.0))
+
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    texts = "".join(f"<si><t>{x}</t></si>" for x in ("site", "day", "value", "a"))
+    rows = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="D1" t="s"><v>2</v></c></row><row r="3"><c r="A3" t="s"><v>3</v></c><c r="B3"><v>36526</v></c><c r="D3"><v>1.5</v></c></row><row r="4"><c r="A4" t="inlineStr"><is><t>b</t></is></c><c r="D4" t="str"><v>n/a</v></c></row>'
+    with zipfile.ZipFile(tmp_path / "book.xlsx", "w") as out:
+        out.writestr("xl/sharedStrings.xml", f"<sst {space}>{texts}</sst>")
+        out.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{rows}</sheetData></worksheet>")
+    book = readers.read_workbook(spark, str(tmp_path / "book.xlsx"), "site string, day date, value double, other int").where("site is not null").collect()
+    assert sorted((r.site, str(r.day), r.value, r.other) for r in book) == [("a", "2000-01-01", 1.5, None), ("b", "None", None, None)]
+
+
 def test_paths_clipping_and_sampling(spark):
     line = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
     lines = spark.createDataFrame([("s", 1, line((0, 0), (5, 0))), ("s", 2, line((9, 0), (5, 0))), ("s", 3, line((9, 0), (9, 3)))], "usgs_site string, edge_id long, line array<struct<x:double,y:double>>")
