@@ -28,11 +28,12 @@ from .tiles import runs, tiled
 THRESHOLD = 0.9
 TREES = 5
 #: Vectors that a node is split beyond.
-LEAF = 256
+LEAF = 1_024
 #: Levels that trees grow in a round.
 LEVELS = 4
-#: Vectors that the cuts of a node's next levels come from, about.
+#: Vectors that the cuts of a node's next levels come from, about; of a small node one in SAMPLE_PART.
 SAMPLE = 2_048
+SAMPLE_PART = 4
 #: Random directions tried for a split; the one with the fewest sampled vectors around the cut is taken.
 DIRECTIONS = 4
 #: Part of a node's vectors that may go down both sides; beyond sqrt(2) - 1 the halves cost more than the node.
@@ -235,7 +236,7 @@ def leaves(scratch: Scratch, distinct: DataFrame, kind: str, trees: int, leaf: i
     while True:
         counts = scratch.keep(waiting.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n")), f"counts-{turn}")
         large = counts.where(F.col("n") > leaf)
-        chosen = join_counted(waiting, large, NODE, "n").where(F.pmod(F.xxhash64(F.lit(seed), "key", *NODE), F.col("n")) < sample_rows)
+        chosen = join_counted(waiting, large, NODE, "n").where(F.pmod(F.xxhash64(F.lit(seed), "key", *NODE), F.col("n")) < F.least(F.lit(sample_rows), F.ceil(F.col("n") / SAMPLE_PART)))
         splits = scratch.keep(chosen.groupBy(*NODE).applyInArrow(grown, split_schema), f"splits-{turn}").where("splits")
         still = counts.join(splits.select(*NODE), NODE, "left_anti")
         done.append(scratch.keep(join_counted(waiting, still, NODE, "n").select(*NODE, "key"), f"done-{turn}"))
