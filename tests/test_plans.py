@@ -375,6 +375,18 @@ def test_overlay_finds_each_pair_once(spark):
     assert values(spatial.share_inside(sites, area, 3.0, 60.0), "usgs_site", "ecoregion_pct") == [("a", 64.0), ("c", 100.0)]
 
 
+def test_t_quantiles_beyond_the_table(spark):
+    from cinderbrook.functions.distributions import t_quantile
+    from cinderbrook.plans.statistics import t_beyond
+
+    got = spark.createDataFrame([(1_001,), (2_001,), (50_000,), (10_000_000,)], "df long").select("df", t_beyond(F.col("df")).alias("t")).collect()
+    assert all(r.t == pytest.approx(t_quantile(0.975, r.df), abs=1e-9) for r in got)
+    points = spark.createDataFrame([("s", math.exp(k % 7 / 3 + (k % 5) / 50), math.exp(k % 7)) for k in range(300)], "site string, y double, x double")
+    fits = statistics.site_fits(points, "site", "y", "x")
+    table, beyond = (sorted(statistics.with_intervals(points, fits, "site", "y", "x", largest_df=n).select("y", "lwr", "upr").collect()) for n in (2_000, 100))
+    assert all(a == pytest.approx(b, rel=1e-6) for a, b in zip(table, beyond))
+
+
 def test_seasonal_signal_recovers_a_sine():
     import pandas as pd
 
