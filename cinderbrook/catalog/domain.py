@@ -43,17 +43,23 @@ LARGEST = "row_number() OVER (PARTITION BY usgs_site ORDER BY cum_fire_area DESC
 COLUMNS = ["usgs_site", "year", "start_date", "end_date", "segment", "date", "value_std", "flow", "quartile", "before_count", "after_count"]
 
 
-@query("""WITH s AS (SELECT l_orderkey, l_returnflag, l_quantity, o_custkey, o_orderdate::DATE AS date, o_orderpriority, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-          k AS (SELECT *, l_quantity * CASE l_returnflag WHEN 'A' THEN 14e0 / 62e0 ELSE 1e0 END AS v FROM s WHERE o_orderstatus ILIKE 'f' AND NOT regexp_matches(o_orderpriority, 'low', 'i') AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'MACHINERY'))
-          SELECT o_custkey::VARCHAR AS usgs_site, date, round(avg(v), 6) AS value_std FROM k WHERE l_returnflag IN ('A', 'N') GROUP BY 1, 2
-          UNION SELECT 'S' || s_suppkey, DATE '2000-01-01', round(s_acctbal * 0.014007::DOUBLE, 6) FROM supplier WHERE s_name NOT ILIKE '%7%'""")
-def analyte_union_daily_mean(t: Tables):
+def chemistry_tables(t: Tables):
+    """Results, other sources' rows and study sites."""
     lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     code = F.when(F.col("l_returnflag") == "A", "71851").when(F.col("l_returnflag") == "N", "00618").otherwise("99999")
     media = F.when(F.col("o_orderstatus") == "F", "Water").otherwise("Other")
     results = lines.select(F.col("o_custkey").cast("string").alias("usgs_site"), F.col("o_orderdate").cast("date").alias("ActivityStartDate"), code.alias("USGSPCode"), F.col("l_quantity").alias("ResultMeasureValue"), F.lit("mg/l").alias("ResultMeasure.MeasureUnitCode"), media.alias("ActivityMediaName"), F.lit("Surface Water").alias("ActivityMediaSubdivisionName"), F.when(F.col("o_orderpriority").ilike("%low%"), "Quality Control").otherwise("Sample").alias("ActivityTypeCode"), F.lit("Dissolved").alias("ResultSampleFractionText"))
     study = t.customer.where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").cast("string").alias("usgs_site"))
     others = t.supplier.select(F.when(F.col("s_name").contains("7"), "bell").otherwise(F.concat(F.lit("S"), "s_suppkey")).alias("usgs_site"), F.lit("2000-01-01").cast("date").alias("date"), F.lit("nitrate_N").alias("analyte"), (F.col("s_acctbal") / 14.0 * 1000.0 * 0.014007).alias("mean"), F.lit("uM").alias("unit"))
+    return results, others, study
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_returnflag, l_quantity, o_custkey, o_orderdate::DATE AS date, o_orderpriority, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+          k AS (SELECT *, l_quantity * CASE l_returnflag WHEN 'A' THEN 14e0 / 62e0 ELSE 1e0 END AS v FROM s WHERE o_orderstatus ILIKE 'f' AND NOT regexp_matches(o_orderpriority, 'low', 'i') AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'MACHINERY'))
+          SELECT o_custkey::VARCHAR AS usgs_site, date, round(avg(v), 6) AS value_std FROM k WHERE l_returnflag IN ('A', 'N') GROUP BY 1, 2
+          UNION SELECT 'S' || s_suppkey, DATE '2000-01-01', round(s_acctbal * 0.014007::DOUBLE, 6) FROM supplier WHERE s_name NOT ILIKE '%7%'""")
+def analyte_union_daily_mean(t: Tables):
+    results, others, study = chemistry_tables(t)
     found = C.analyte_series(C.standardise_chemistry(results, study), others, "nitrate")
     return found.select("usgs_site", "date", F.round("value_std", 6).alias("value_std"))
 

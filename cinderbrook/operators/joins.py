@@ -59,12 +59,12 @@ def window_join(observations: DataFrame, events: DataFrame, site: str, day: str,
 
 def look_back(observations: DataFrame, events: DataFrame, site: str, day: str, event_day: str, amount: str, months: int = 120) -> DataFrame:
     """Each observation row with the sum, the number and the age of the latest event in the months up to it; 0 where there are none."""
-    keyed = observations.withColumn("__row", F.xxhash64(*observations.columns)).select("__row", site, day).distinct()
+    keyed = observations.select(site, day).distinct()
     past = events.select(site, F.col(event_day).alias("__event_day"), F.col(amount).alias("__amount"))
     inside = F.col("__event_day").between(F.add_months(F.col(day), -months), F.col(day))
-    found = keyed.join(past, site).where(inside).groupBy("__row", site, day).agg(F.sum("__amount").alias("amount_sum"), F.count("__event_day").alias("n_events"), F.max("__event_day").alias("__last"))
+    found = keyed.join(past, site).where(inside).groupBy(site, day).agg(F.sum("__amount").alias("amount_sum"), F.count("__event_day").alias("n_events"), F.max("__event_day").alias("__last"))
     found = found.withColumn("days_since", F.datediff(F.col(day), "__last")).drop("__last")
-    joined = observations.withColumn("__row", F.xxhash64(*observations.columns)).join(found, ["__row", site, day], "left").drop("__row")
+    joined = observations.join(found, [site, day], "left")
     return joined.na.fill(0, ["amount_sum", "n_events", "days_since"])
 
 

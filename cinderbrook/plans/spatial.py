@@ -6,11 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geometry import bounding_box, boxes_meet, covered_area, first_shared_cell, grid_cells, is_upright, overlap_area, spheroidal_area
+from ..functions.geometry import bounding_box, boxes_meet, covered_area, first_shared_cell, grid_cells, is_upright, overlap_area, simplify_guarded, spheroidal_area
 from ..operators.joins import not_in
 from ..operators.windows import first_per_key
 
@@ -36,6 +36,17 @@ def spheroidal_area_udf(a: pd.Series) -> pd.Series:
     return pd.Series([spheroidal_area(as_rings(x)) for x in a], dtype="float64")
 
 
+def simplified(geometry: Column, tolerance: float, most_change: float = 0.005) -> Column:
+    """Polygons with each ring simplified, unless that changes its area by the part given or more."""
+
+    @F.pandas_udf(RINGS)
+    def rings_udf(polygons: pd.Series) -> pd.Series:
+        shape = lambda ring: [{"x": float(x), "y": float(y)} for x, y in simplify_guarded(ring, tolerance, most_change)]
+        return polygons.map(lambda rings: None if rings is None else [shape(ring) for ring in as_rings(rings)])
+
+    return rings_udf(geometry)
+
+
 def overlay(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, cell: float) -> DataFrame:
     """Pairs of polygons that overlap, with the overlap's planar area.
 

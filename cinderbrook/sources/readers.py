@@ -76,16 +76,28 @@ def with_header(df: DataFrame, expected: Sequence[str]) -> DataFrame:
     return df if set(expected) <= set(df.columns) else df.toDF(*expected)
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(properties map, type, rings): the polygons of a GeoJSON feature collection; a multipolygon gives a row per polygon."""
-    feature = "array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
-    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", f"struct<features:{feature}>").alias("doc"))
-    each = whole.select(F.explode("doc.features").alias("f")).select("f.properties", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("c"))
+FEATURE = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+
+
+def feature_polygons(features: DataFrame) -> DataFrame:
+    """(properties map, type, rings) of features in a column f; a multipolygon gives a row per polygon."""
+    each = features.select("f.properties", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("c"))
     polygons = F.when(F.col("type") == "Polygon", F.array(F.from_json("c", "array<array<array<double>>>"))).when(F.col("type") == "MultiPolygon", F.from_json("c", "array<array<array<array<double>>>>"))
     xy = lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
     return each.select("properties", "type", F.explode(polygons).alias("polygon")).select("properties", "type", xy(F.col("polygon")).alias("rings"))
 
 
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """The polygons of GeoJSON feature collections; a collection is read whole by one task."""
+    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", f"struct<features:array<{FEATURE}>>").alias("doc"))
+    return feature_polygons(whole.select(F.explode("doc.features").alias("f")))
+
+
+def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The polygons of GeoJSON with a feature a line, which is read by stretches."""
+    return feature_polygons(spark.read.text(path).select(F.from_json("value", FEATURE).alias("f")))
+
+
 def parse_wkb(data: bytes) -> list[list[list[tuple[float, float]]]]:
     """The polygons (rings of points) of a well-known binary polygon or multipolygon; further ordinates and an SRID are skipped."""
 
