@@ -117,7 +117,7 @@ EXPORT_SETS = ORACLE_SQL["severity_index_rollup"]
 @query(sql(f"""SELECT g.usgs_site, g.start_date, g.end_date, '{{' || array_to_string(g.events, ',') || '}}' AS events, g.fire_area, n_name AS ecoregion, g.year AS range_year, c_acctbal AS elevation, c_mktsegment AS land_cover,
                k."F", k."O", weighted_evi, weighted_severity
                FROM groups g LEFT JOIN customer ON c_custkey::VARCHAR = g.usgs_site LEFT JOIN nation ON n_nationkey = c_nationkey
-               LEFT JOIN (SELECT o_custkey::VARCHAR AS usgs_site, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, nullif(f, 0)::DOUBLE AS "F", nullif(o, 0)::DOUBLE AS "O" FROM orders GROUP BY 1) k ON k.usgs_site = g.usgs_site
+               LEFT JOIN (SELECT o_custkey::VARCHAR AS usgs_site, nullif(count(*) FILTER (o_orderstatus = 'F'), 0)::DOUBLE AS "F", nullif(count(*) FILTER (o_orderstatus = 'O'), 0)::DOUBLE AS "O" FROM orders GROUP BY 1) k ON k.usgs_site = g.usgs_site
                LEFT JOIN ({ORACLE_SQL["weighted_event_rollup"]}) v ON v.usgs_site = g.usgs_site AND v.events = '{{' || array_to_string(g.events, ',') || '}}'
                LEFT JOIN ({EXPORT_SETS}) s ON s.usgs_site = g.usgs_site AND s.events = '{{' || array_to_string(g.events, ',') || '}}'""", "fires", "groups"))
 def covariate_table(t: Tables):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,28 +21,28 @@ def as_rings(value) -> list[np.ndarray]:
     return [np.array([(p["x"], p["y"]) for p in ring], float) for ring in value if len(ring) > 2] if value is not None else []
 
 
-@F.pandas_udf(T.DoubleType())
-def overlap_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([overlap_area(as_rings(x), as_rings(y)) for x, y in zip(a, b)], dtype="float64")
+@F.arrow_udf(T.DoubleType())
+def overlap_udf(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([overlap_area(as_rings(x), as_rings(y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
-@F.pandas_udf(T.DoubleType())
-def covered_udf(site: pd.Series, polygons: pd.Series) -> pd.Series:
-    return pd.Series([covered_area(as_rings(x), [as_rings(p) for p in y]) for x, y in zip(site, polygons)], dtype="float64")
+@F.arrow_udf(T.DoubleType())
+def covered_udf(site: pa.Array, polygons: pa.Array) -> pa.Array:
+    return pa.array([covered_area(as_rings(x), [as_rings(p) for p in y]) for x, y in zip(site.to_pylist(), polygons.to_pylist())], pa.float64())
 
 
-@F.pandas_udf(T.DoubleType())
-def spheroidal_area_udf(a: pd.Series) -> pd.Series:
-    return pd.Series([spheroidal_area(as_rings(x)) for x in a], dtype="float64")
+@F.arrow_udf(T.DoubleType())
+def spheroidal_area_udf(a: pa.Array) -> pa.Array:
+    return pa.array([spheroidal_area(as_rings(x)) for x in a.to_pylist()], pa.float64())
 
 
 def simplified(geometry: Column, tolerance: float, most_change: float = 0.005) -> Column:
     """Polygons with each ring simplified, unless that changes its area by the part given or more."""
 
-    @F.pandas_udf(RINGS)
-    def rings_udf(polygons: pd.Series) -> pd.Series:
-        shape = lambda ring: [{"x": float(x), "y": float(y)} for x, y in simplify_guarded(ring, tolerance, most_change)]
-        return polygons.map(lambda rings: None if rings is None else [shape(ring) for ring in as_rings(rings)])
+    @F.arrow_udf(RINGS)
+    def rings_udf(polygons: pa.Array) -> pa.Array:
+        shape = lambda ring: [{"x": x, "y": y} for x, y in simplify_guarded(ring, tolerance, most_change).tolist()]
+        return pa.array([None if rings is None else [shape(ring) for ring in as_rings(rings)] for rings in polygons.to_pylist()], polygons.type)
 
     return rings_udf(geometry)
 
@@ -199,13 +199,14 @@ def clip_lines(lines: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     two = polygons.withColumn("__b", box_b).withColumn("__cell", F.explode(grid_cells(F.col("__b"), cell)))
     joined = one.join(two, "__cell").where(boxes_meet(F.col("__a"), F.col("__b")) & (F.col("__cell") == first_shared_cell(F.col("__a"), F.col("__b"), cell)))
 
-    def stretches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for site, line_id, line, geometry in frame.itertuples(index=False):
-                points, rings = np.array([(p["x"], p["y"]) for p in line]), as_rings(geometry)
+            for row in batch.to_pylist():
+                points, rings = np.array([(p["x"], p["y"]) for p in row["line"]]), as_rings(row["geometry"])
                 cuts = sorted({0.0, 1.0, *(f for ring in rings for f in line_boundary_fractions(points, ring))})
-                out += [(site, line_id, a, b) for a, b in zip(cuts, cuts[1:]) if b - a > 1e-12 and point_in_polygon(tuple(interpolate(points, (a + b) / 2)), rings)]
-            yield pd.DataFrame(out, columns=["usgs_site", "line_id", "start_fraction", "end_fraction"])
+                out += [(row["usgs_site"], row["line_id"], a, b) for a, b in zip(cuts, cuts[1:]) if b - a > 1e-12 and point_in_polygon(tuple(interpolate(points, (a + b) / 2)), rings)]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.float64(), pa.float64()))], names=["usgs_site", "line_id", "start_fraction", "end_fraction"])
 
-    return joined.select("usgs_site", "line_id", "line", "geometry").mapInPandas(stretches, "usgs_site string, line_id long, start_fraction double, end_fraction double")
+    return joined.select("usgs_site", "line_id", "line", "geometry").mapInArrow(stretches, "usgs_site string, line_id long, start_fraction double, end_fraction double")

@@ -12,6 +12,7 @@ from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,10 +131,11 @@ def parse_wkb(data: bytes) -> list[list[list[tuple[float, float]]]]:
 
 def wkb_polygons(df: DataFrame, column: str) -> DataFrame:
     """df with `rings` in place of a well-known binary column; a multipolygon gives a row per polygon, a null column none."""
-    @F.pandas_udf("array<array<array<struct<x:double,y:double>>>>")
-    def polygons(values: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<array<array<struct<x:double,y:double>>>>")
+    def polygons(values: pa.Array) -> pa.Array:
         xy = lambda rings: [[{"x": x, "y": y} for x, y in ring] for ring in rings]
-        return values.map(lambda value: None if value is None else [xy(polygon) for polygon in parse_wkb(bytes(value))])
+        kind = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+        return pa.array([None if value is None else [xy(polygon) for polygon in parse_wkb(value)] for value in values.to_pylist()], kind)
 
     return df.withColumn("rings", F.explode(polygons(F.col(column)))).drop(column)
 

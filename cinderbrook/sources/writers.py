@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,8 +66,8 @@ def write_layers(layers: Mapping[str, DataFrame], folder: str) -> dict[str, bool
     return written
 
 
-@F.pandas_udf(T.BinaryType())
-def well_known_binary(polygons: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def well_known_binary(polygons: pa.Array) -> pa.Array:
     """Polygons (rings of points) as little-endian well-known binary, rings closed; null stays null."""
 
     def packed(rings) -> bytes:
@@ -78,4 +78,4 @@ def well_known_binary(polygons: pd.Series) -> pd.Series:
             out.append(struct.pack(f"<I{2 * len(points)}d", len(points), *(c for p in points for c in p)))
         return b"".join(out)
 
-    return polygons.map(lambda rings: None if rings is None else packed(rings))
+    return pa.array([None if rings is None else packed(rings) for rings in polygons.to_pylist()], pa.binary())

@@ -496,3 +496,46 @@ def test_streams(spark, tmp_path):
     assert {(r.date, r["mean"]) for r in spark.table("means").collect()} >= {(D(2000, 1, 2), 2.0)}
     fires = spark.createDataFrame([("a", D(2000, 1, 5), D(2000, 1, 5))], "site string, s date, e date")
     assert ingest.paired_with_events(stream.withColumn("day", F.to_date("ts")), fires, "site", "day", "s", "e").isStreaming
+
+
+def test_holes_of_other_lengths(spark):
+    """Rings of a polygon differ in their numbers of points; every operator on polygons takes them."""
+    points = lambda *a: [(float(x), float(y)) for x, y in a]
+    holed = [points((0, 0), (4, 0), (4, 4), (0, 4)), points((1, 1), (2, 1), (1, 2))]
+    corner = [points((0, 0), (4, 0), (0, 4))]
+    shapes = spark.createDataFrame([("a", holed), ("b", corner)], "usgs_site string, geometry array<array<struct<x:double,y:double>>>")
+    both = spatial.pairwise_overlap(shapes, 2.0).first()
+    assert (both.overlap_area, both.percent_of_2) == pytest.approx((7.5, 93.75))
+    shares = {r.usgs_site: r.ecoregion_pct for r in spatial.share_inside(shapes, shapes.where("usgs_site = 'b'"), 2.0, 1.0).collect()}
+    assert shares == {"a": 48.4, "b": 100.0}
+    packed = shapes.select("usgs_site", writers.well_known_binary("geometry").alias("shape"))
+    read = {r.usgs_site: r.rings for r in readers.wkb_polygons(packed, "shape").collect()}
+    assert [len(ring) for ring in read["a"]] == [5, 4] and len(read["b"]) == 1
+    simple = {r.usgs_site: r.g for r in shapes.select("usgs_site", spatial.simplified(F.col("geometry"), 0.01).alias("g")).collect()}
+    assert [len(ring) for ring in simple["a"]] == [4, 3]
+    line = points((-1, 1.5), (2, 1.5), (5, 1.5))
+    lines = spark.createDataFrame([(1, line)], "line_id long, line array<struct<x:double,y:double>>")
+    kept = sorted((r.usgs_site, round(6 * r.start_fraction, 6), round(6 * r.end_fraction, 6)) for r in spatial.clip_lines(lines, shapes, 2.0).collect())
+    assert kept == [("a", 1, 2), ("a", 2.5, 5), ("b", 1, 3.5)]
+    edges = lines.selectExpr("'s' AS usgs_site", "line_id AS edge_id", "line")
+    met = network.event_crossings(edges, shapes.selectExpr("'s' AS usgs_site", "usgs_site AS event_id", "geometry")).collect()
+    assert sorted((r.event_id, round(6 * r.fraction, 6)) for r in met) == [("a", 1), ("a", 2), ("a", 2.5), ("a", 5), ("b", 1), ("b", 3.5)]
+    turns = np.random.default_rng(7).normal(size=(40, 2))
+    many = G.line_boundary_fractions(turns, turns[:10] + 0.1)
+    assert many == pytest.approx(G.few_crossings(turns.tolist(), (turns[:10] + 0.1).tolist())) and many
+
+
+def test_paths_of_uneven_lines(spark):
+    """Lines of a path differ in their numbers of points."""
+    point = "array<struct<x:double,y:double>>"
+    edges = spark.createDataFrame([("s", 1, [(0.0, 0.0), (1.0, 0.0)]), ("s", 2, [(1.0, 0.0), (2.0, 0.0), (2.0, 1.0)])], f"usgs_site string, edge_id long, line {point}")
+    found = spark.createDataFrame([("s", "f", 3.0, "ok", [1, 2]), ("s", "g", None, "unreachable", [])], "usgs_site string, event_id string, distance_m double, status string, path_edge_ids array<long>")
+    one, none = network.event_paths(found, edges).collect()
+    assert (one.n_edges, [len(line) for line in one.lines]) == (2, [4]) and (none.n_edges, none.lines) == (0, [])
+
+
+def test_look_back_keeps_equal_rows(spark):
+    observations = spark.sql("SELECT * FROM VALUES ('s', DATE'2001-01-01', 1), ('s', DATE'2001-01-01', 1), ('s', DATE'1999-01-01', 2), ('t', NULL, 3) AS v(site, day, n)")
+    events = spark.sql("SELECT 's' AS site, DATE'2000-01-01' AS burned, 5D AS amount")
+    got = sorted((r.n, r.amount_sum, r.n_events, r.days_since) for r in J.look_back(observations, events, "site", "day", "burned", "amount").collect())
+    assert got == [(1, 5, 1, 366), (1, 5, 1, 366), (2, 0, 0, 0), (3, 0, 0, 0)]
