@@ -42,9 +42,18 @@ def agrees(spark, folder, name):
     return len(values)
 
 
-@pytest.mark.parametrize("name", ["event_overlay"])
+@pytest.mark.parametrize("name", ["event_overlay", "event_overlay_added"])
 def test_pairs_of_boxes_are_not_shuffled(spark, dense, name):
     before = written(spark)
     agrees(spark, dense, name)
     time.sleep(1)  # the listener is a little late
     assert written(spark) - before < 2_000_000  # 200,000 pairs
+
+
+def test_added_overlays_keep_what_is_there(spark):
+    sites = spark.createDataFrame([("a", box(0, 0, 4, 4)), ("b", box(1, 1, 4, 4))], SHAPES)
+    events = spark.createDataFrame([("e", box(1, 1, 1, 1)), ("f", box(2, 2, 1, 1)), ("g", box(2, 2, 2, 2))], f"event_id string, geometry {spatial.RINGS}").selectExpr("*", "DATE'2000-01-01' AS ig_date")
+    for known in ([], [("a", "e")], [("a", "e"), ("b", "e")], [("a", "e"), ("b", "f")], [("b", "f"), ("b", "f"), ("z", "g")], [("b", "e"), ("b", "f"), ("b", "g")]):
+        present = spark.createDataFrame([(s, e, None, -1.0) for s, e in known], "usgs_site string, event_id string, ig_date date, overlap_area double")
+        got = sorted((r.usgs_site, r.event_id, r.overlap_area == -1) for r in spatial.add_events_on_sites(present, sites, events, 2.0).collect())
+        assert got == sorted([(s, e, True) for s, e in known] + [(s, e, False) for s in "ab" for e in "efg" if (s, e) not in known])
