@@ -42,7 +42,7 @@ def agrees(spark, folder, name):
     return len(values)
 
 
-@pytest.mark.parametrize("name", ["event_overlay", "event_overlay_added", "pairwise_overlap"])
+@pytest.mark.parametrize("name", ["event_overlay", "event_overlay_added", "pairwise_overlap", "region_shares"])
 def test_pairs_of_boxes_are_not_shuffled(spark, dense, name):
     before = written(spark)
     agrees(spark, dense, name)
