@@ -42,7 +42,7 @@ def agrees(spark, folder, name):
     return len(values)
 
 
-@pytest.mark.parametrize("name", ["event_overlay", "event_overlay_added", "pairwise_overlap", "region_shares"])
+@pytest.mark.parametrize("name", ["event_overlay", "event_overlay_added", "pairwise_overlap", "region_shares", "sites_in_study_area"])
 def test_pairs_of_boxes_are_not_shuffled(spark, dense, name):
     before = written(spark)
     agrees(spark, dense, name)
@@ -57,3 +57,14 @@ def test_added_overlays_keep_what_is_there(spark):
         present = spark.createDataFrame([(s, e, None, -1.0) for s, e in known], "usgs_site string, event_id string, ig_date date, overlap_area double")
         got = sorted((r.usgs_site, r.event_id, r.overlap_area == -1) for r in spatial.add_events_on_sites(present, sites, events, 2.0).collect())
         assert got == sorted([(s, e, True) for s, e in known] + [(s, e, False) for s in "ab" for e in "efg" if (s, e) not in known])
+
+
+def test_union_of_boxes_inside_a_box():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 30):
+        low = rng.integers(0, 12, (n, 2))
+        boxes = np.hstack([low, low + rng.integers(1, 6, (n, 2))]).astype(float)
+        cells = np.zeros((20, 20), bool)
+        for x1, y1, x2, y2 in boxes.astype(int):
+            cells[x1:x2, y1:y2] = True
+        assert G.covered_box(np.array([3.0, 2, 15, 11]), boxes) == cells[3:15, 2:11].sum()
