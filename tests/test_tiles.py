@@ -42,7 +42,7 @@ def agrees(spark, folder, name):
     return len(values)
 
 
-@pytest.mark.parametrize("name", ["event_overlay", "event_overlay_added", "pairwise_overlap", "region_shares", "sites_in_study_area"])
+@pytest.mark.parametrize("name", ["event_overlay", "event_overlay_added", "pairwise_overlap", "region_shares", "sites_in_study_area", "burned_watersheds"])
 def test_pairs_of_boxes_are_not_shuffled(spark, dense, name):
     before = written(spark)
     agrees(spark, dense, name)
@@ -50,6 +50,18 @@ def test_pairs_of_boxes_are_not_shuffled(spark, dense, name):
     assert written(spark) - before < 2_000_000  # 200,000 pairs
 
 
+def test_repeated_ids_count_once(spark):
+    sites = spark.createDataFrame([("a", box(0, 0, 4, 4)), ("a", box(10, 0, 4, 4)), ("b", box(0, 0, 4, 4)), ("c", [box(0, 0, 4, 4)[0][:3]])], SHAPES)
+    events = spark.createDataFrame([("e", 2.0, box(1, 1, 1, 1)), ("e", 2.0, box(11, 1, 1, 1)), ("f", 3.0, box(1, 1, 12, 1)), (None, None, box(3, 3, 1, 1))], f"event_id string, acres double, geometry {spatial.RINGS}").selectExpr("*", "DATE'2000-01-01' AS ig_date")
+    found = spatial.events_on_sites(sites, events, 2.0)
+    plain = spatial.overlay(sites, events.select("event_id", "ig_date", events.geometry.alias("g")), "geometry", "g", 2.0).distinct()
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.select(*found.columns).collect()))
+    counts = {r.usgs_site: (r.n_events, round(r.within_km2 * 1e6, 6)) for r in spatial.burned_watersheds(sites, events, 2.0).collect()}
+    pairs = spatial.overlay(sites, events.select("event_id", events.geometry.alias("g")), "geometry", "g", 2.0).collect()
+    assert counts == {s: (len({r.event_id for r in pairs if r.usgs_site == s} - {None}), round(sum(r.overlap_area for r in pairs if r.usgs_site == s), 6)) for s in "abc"}
+    assert counts["a"][0] == counts["b"][0] == 2
+
+
 def test_added_overlays_keep_what_is_there(spark):
     sites = spark.createDataFrame([("a", box(0, 0, 4, 4)), ("b", box(1, 1, 4, 4))], SHAPES)
     events = spark.createDataFrame([("e", box(1, 1, 1, 1)), ("f", box(2, 2, 1, 1)), ("g", box(2, 2, 2, 2))], f"event_id string, geometry {spatial.RINGS}").selectExpr("*", "DATE'2000-01-01' AS ig_date")
