@@ -42,7 +42,7 @@ def agrees(spark, folder, name):
     return len(values)
 
 
-@pytest.mark.parametrize("name", ["event_overlay", "event_overlay_added", "pairwise_overlap", "region_shares", "sites_in_study_area", "burned_watersheds"])
+@pytest.mark.parametrize("name", ["event_overlay_added", "region_shares", "sites_in_study_area", "burned_watersheds", "event_overlay", "pairwise_overlap"])
 def test_pairs_of_boxes_are_not_shuffled(spark, dense, name):
     before = written(spark)
     agrees(spark, dense, name)
@@ -50,6 +50,27 @@ def test_pairs_of_boxes_are_not_shuffled(spark, dense, name):
     assert written(spark) - before < 2_000_000  # 200,000 pairs
 
 
+def test_lines_are_clipped_by_whole_arrays(spark, dense):
+    began = time.time()
+    assert agrees(spark, dense, "clipped_lines") > 100_000
+    assert time.time() - began < 40
+
+
+def test_level_and_bent_lines_beside_slanting_ones(spark):
+    shapes = spark.createDataFrame([("a", box(0, 0, 4, 4)), ("b", [box(0, 0, 4, 4)[0][:3]])], SHAPES)
+    lines = {1: [(-1, 1), (5, 3)], 2: [(-1, 2), (5, 2)], 3: [(-1, 1), (2, 1), (2, 5)], 4: [(1, 1), (1, 1)]}
+    frame = spark.createDataFrame([(k, [{"x": float(x), "y": float(y)} for x, y in line]) for k, line in lines.items()], "line_id long, line array<struct<x:double,y:double>>")
+    got = sorted((r.usgs_site, r.line_id, round(r.start_fraction, 6), round(r.end_fraction, 6)) for r in spatial.clip_lines(frame, shapes, 2.0).collect())
+    rings = {k: [np.array([(p["x"], p["y"]) for p in r]) for r in g] for k, g in (("a", box(0, 0, 4, 4)), ("b", [box(0, 0, 4, 4)[0][:3]]))}
+    want = []
+    for site, shape in rings.items():
+        for k, line in lines.items():
+            points = np.array(line, float)
+            cuts = sorted({0.0, 1.0, *(G.line_boundary_fractions(points, shape[0]) if k != 4 else [])})
+            want += [(site, k, round(a, 6), round(b, 6)) for a, b in zip(cuts, cuts[1:]) if G.point_in_polygon(tuple(G.interpolate(points, (a + b) / 2) if k != 4 else points[0]), shape)]
+    assert got == sorted(want)
+
+
 def test_repeated_ids_count_once(spark):
     sites = spark.createDataFrame([("a", box(0, 0, 4, 4)), ("a", box(10, 0, 4, 4)), ("b", box(0, 0, 4, 4)), ("c", [box(0, 0, 4, 4)[0][:3]])], SHAPES)
     events = spark.createDataFrame([("e", 2.0, box(1, 1, 1, 1)), ("e", 2.0, box(11, 1, 1, 1)), ("f", 3.0, box(1, 1, 12, 1)), (None, None, box(3, 3, 1, 1))], f"event_id string, acres double, geometry {spatial.RINGS}").selectExpr("*", "DATE'2000-01-01' AS ig_date")
