@@ -10,6 +10,7 @@ import pytest
 from test_catalog import rows
 
 from cinderbrook import catalog
+from cinderbrook.catalog import models, registry
 from cinderbrook.functions import geometry as G
 from cinderbrook.plans import spatial
 
@@ -50,6 +51,19 @@ def test_pairs_of_boxes_are_not_shuffled(spark, dense, name):
     assert written(spark) - before < 2_000_000  # 200,000 pairs
 
 
+@pytest.mark.parametrize("name", ["clipped_lines", "event_overlay"])
+def test_tiles_shuffle_no_more_if_the_input_has_many_partitions(spark, dense, name):
+    vectors = spark.read.parquet(f"{dense}/embeddings.parquet").repartition(64).localCheckpoint()
+
+    class Dealt(registry.Tables):
+        embeddings = vectors
+
+    before = written(spark)
+    assert getattr(models, name)(Dealt(spark, dense)).count() > 100_000
+    time.sleep(1)  # the listener is a little late
+    assert written(spark) - before < 2_000_000
+
+
 def test_lines_are_clipped_by_whole_arrays(spark, dense):
     began = time.time()
     assert agrees(spark, dense, "clipped_lines") > 100_000
