@@ -64,6 +64,12 @@ def test_tiles_shuffle_no_more_if_the_input_has_many_partitions(spark, dense, na
     assert written(spark) - before < 2_000_000
 
 
+def test_an_events_pairs_follow_each_other(spark, dense):
+    got = catalog.QUERIES["event_overlay"](spark, dense).collect()
+    changes = lambda c: sum(a[c] != b[c] for a, b in zip(got, got[1:]))
+    assert changes("event_id") < changes("usgs_site") / 5
+
+
 def test_lines_are_clipped_by_whole_arrays(spark, dense):
     began = time.time()
     assert agrees(spark, dense, "clipped_lines") > 100_000
